@@ -5,7 +5,7 @@ Every value describes the games *before* the row's game. All bounded look-backs
 running sums inside a block, and exponential weights are running sums of re-based weights.
 
 ``Form`` computes a few columns with JVM windows. ``team_form`` and ``player_form`` compute the full
-blocks (347 and 140 columns) with the same maths on Arrow batches, one batch per bounded block.
+blocks (347 and 140 columns) with the same maths on Arrow batches of whole bounded blocks.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tipoff.functions.scalar import ratio
-from tipoff.operators.kernels import Sums, divide, doubles, lag, matrix, weighted_mean
+from tipoff.operators.kernels import Sums, by_group, divide, doubles, lag, matrix, weighted_mean
 from tipoff.operators.ordered import (
     BLOCK, ORDINAL, PLAYER_SEASON, TEAM_SEASON, TOTAL, UNBOUNDED, Timeline, block_size, block_window, blocks,
     core_rows, ewm_halo, ewm_keep, running, with_ordinal,
@@ -239,21 +239,28 @@ def _block_apply(placed_rows: DataFrame, line: Timeline, carried: list[str], sta
         [placed_rows.schema[c] for c in carried] + [T.StructField(n, T.DoubleType()) for n in names])
     arrow_schema = to_arrow_schema(schema)
 
-    def one_block(table: pa.Table) -> pa.Table:
-        ordinal = table.column(ORDINAL).to_numpy()
-        order = np.argsort(ordinal, kind="stable")
-        age = ordinal[order] - table.column("__first").to_numpy()[order]
-        features = compute(matrix(table, stats, order), age)
+    keys = [*line.keys, BLOCK]
+
+    def whole_blocks(table: pa.Table, first: np.ndarray) -> pa.RecordBatch:
+        age = table.column(ORDINAL).to_numpy() - table.column("__first").to_numpy()
+        x = matrix(table, stats)
+        out = np.empty((len(names), len(x)))
+        for a, b in zip(first, [*first[1:], len(x)]):
+            features = compute(x[a:b], age[a:b])
+            for i, name in enumerate(names):
+                out[i, a:b] = features[name]
         core = age >= 0
-        rows = pa.array(order[core])
-        return pa.Table.from_arrays(
-            [table.column(c).take(rows).combine_chunks() for c in carried]
-            + [doubles(features[n][core]) for n in names],
-            names=arrow_schema.names,
-        ).cast(arrow_schema)
+        rows = table.select(carried).filter(pa.array(core)).combine_chunks()
+        columns = [rows.column(c).combine_chunks().cast(arrow_schema.field(c).type) for c in carried]
+        return pa.RecordBatch.from_arrays(columns + doubles(out[:, core]), schema=arrow_schema)
+
+    def walk(batches):
+        return by_group(batches, keys, whole_blocks)
 
     slim = placed_rows.select(*dict.fromkeys([*line.keys, *carried, BLOCK, ORDINAL, "__first", *stats]))
-    return slim.groupBy(*line.keys, BLOCK).applyInArrow(one_block, schema)
+    # a fixed partition count: adaptive coalescing judges by bytes and would leave the arithmetic to few tasks
+    parts = int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return slim.repartition(parts, *keys).sortWithinPartitions(*keys, ORDINAL).mapInArrow(walk, schema)
 
 
 def _basic_columns(x: np.ndarray, age: np.ndarray, stats: list[str], windows, impute: bool,

@@ -10,13 +10,46 @@ from __future__ import annotations
 
 import math
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+
+
+def matrix(table: pa.Table, columns: list[str]) -> np.ndarray:
+    return np.column_stack([table.column(c).cast(pa.float64()).to_numpy() for c in columns])
+
+
+def starts(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """First row of every run of equal keys."""
+    n = table.num_rows
+    change = np.zeros(n, dtype=bool)
+    change[:1] = True
+    for key in keys:
+        column = table.column(key).combine_chunks()
+        change[1:] |= pc.not_equal(column.slice(1), column.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(change)
+
 
+def by_group(batches: Iterator[pa.RecordBatch], keys: list[str],
+             compute: Callable[[pa.Table, np.ndarray], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hand ``compute`` whole groups of a stream sorted by ``keys``, many small groups at a time.
 
-def matrix(table: pa.Table, columns: list[str], order: np.ndarray) -> np.ndarray:
-    cols = [table.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in columns]
-    return np.column_stack(cols)[order].astype(np.float64, copy=False)
+    Only the group that a batch leaves unfinished is kept for the next one.
+    """
+    pending: list[pa.RecordBatch] = []
+    for batch in batches:
+        table = pa.Table.from_batches([*pending, batch])
+        first = starts(table, keys)
+        cut = int(first[-1]) if len(first) else 0
+        if cut:
+            yield compute(table.slice(0, cut), first[:-1])
+        pending = table.slice(cut).to_batches()
+    if pending:
+        table = pa.Table.from_batches(pending)
+        if table.num_rows:
+            yield compute(table, starts(table, keys))
 
 
 def before(values: np.ndarray) -> np.ndarray:
@@ -80,5 +113,8 @@ def weighted_mean(values: np.ndarray, age: np.ndarray, keep: float, halo: int) -
     return divide(top, bottom)
 
 
-def doubles(values: np.ndarray) -> pa.Array:
-    return pa.array(values, type=pa.float64(), from_pandas=True)
+def doubles(values: np.ndarray) -> list[pa.Array]:
+    """Arrow columns from the rows of a (columns x rows) array, cut from one conversion."""
+    n = values.shape[1]
+    whole = pa.array(np.ascontiguousarray(values).ravel(), type=pa.float64(), from_pandas=True)
+    return [whole.slice(i * n, n) for i in range(len(values))]
