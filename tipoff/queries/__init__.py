@@ -1,6 +1,6 @@
 """All registered queries and their oracle SQL."""
 
-from tipoff.queries import lineups, rating, relational, scalars, sources, windows  # noqa: F401
+from tipoff.queries import evaluation, lineups, rating, relational, scalars, sources, windows  # noqa: F401
 from tipoff.queries.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
