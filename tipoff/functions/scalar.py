@@ -80,7 +80,8 @@ def haversine_km(lat1, lon1, lat2, lon2) -> Column:
     half_lat = F.sin(F.radians(lat2 - lat1) / 2)
     half_lon = F.sin(F.radians(lon2 - lon1) / 2)
     chord = half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lon * half_lon
-    return 2 * EARTH_RADIUS_KM * F.asin(F.sqrt(F.least(chord, F.lit(1.0))))
+    # not ``least``: that ignores NULL, and an unknown place would count as the far side of the earth
+    return 2 * EARTH_RADIUS_KM * F.asin(F.sqrt(cap(chord, 1.0)))
 
 
 def elo_expected(own, other) -> Column:

@@ -1,6 +1,6 @@
 """Evaluation of win probabilities as aggregations: one pass per table, whatever the number of metrics.
 
-Rows without a label are left out. ``model`` (or any grouping key) may be given to evaluate many at once.
+Rows without a label or without a probability are left out. ``model`` (or any grouping key) may be given to evaluate many at once.
 """
 
 from __future__ import annotations
@@ -85,13 +85,13 @@ def is_better(metric: str, new: float, old: float | None) -> bool:
 
 def evaluate(df: DataFrame, label: str, proba: str, names: list[str], threshold: float = 0.5, by: list[str] = ()) -> DataFrame:
     """Named metrics per group in one aggregation."""
-    known = df.where(F.col(label).isNotNull())
+    known = df.where(F.col(label).isNotNull() & F.col(proba).isNotNull())
     y, p = F.col(label), F.col(proba)
     return known.groupBy(*by).agg(*[METRICS[n].build(y, p, threshold).alias(n) for n in names])
 
 
 def confusion(df: DataFrame, label: str, proba: str, threshold: float = 0.5, by: list[str] = ()) -> DataFrame:
-    known = df.where(F.col(label).isNotNull())
+    known = df.where(F.col(label).isNotNull() & F.col(proba).isNotNull())
     return known.groupBy(*by).agg(*[e.alias(n) for n, e in _counts(F.col(label), F.col(proba), threshold).items()])
 
 

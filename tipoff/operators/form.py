@@ -38,6 +38,7 @@ TEAM_OPPONENT = [f"{c}_opponent" for c in ("drb", "orb", "trb", "fg", "fga", "ft
 TEAM_STATS = TEAM_ABSOLUTE + TEAM_PER_100 + TEAM_OPPONENT
 PLAYER_STATS = ["mp", "fg", "fga", "fg3", "fg3a", "ft", "fta", "orb", "drb", "trb", "ast", "stl", "blk", "tov", "pts",
                 "game_score", "plus_minus", "off_rtg", "def_rtg", "bpm"]
+NEAR_ZERO = 1e-9  # a mean this small is a sum of cancelling doubles, not a divisor
 RATIO_STD = ["fg_pct", "fg3_pct", "ft_pct", "ts_pct", "eff_fg_pct"]
 
 
@@ -84,7 +85,8 @@ def vs_average_names(columns: list[str], short: int, long: int) -> dict[str, tup
 
 
 def vs_average(df: DataFrame, short: int, long: int) -> dict[str, Column]:
-    return {name: ratio(a, b) for name, (a, b) in vs_average_names(df.columns, short, long).items()}
+    return {name: ratio(a, F.when(F.abs(F.col(b)) > NEAR_ZERO, F.col(b)))
+            for name, (a, b) in vs_average_names(df.columns, short, long).items()}
 
 
 # ---------------------------------------------------------------------------
@@ -298,7 +300,7 @@ def _team_columns(x: np.ndarray, age: np.ndarray, windows, impute: bool) -> dict
         for j, c in enumerate(RATIO_STD):
             out[f"{c}_{w}_std"] = spread[:, j]
     for name, (recent, season) in vs_average_names(list(out), *windows).items():
-        out[name] = divide(out[recent], out[season])
+        out[name] = divide(out[recent], np.where(np.abs(out[season]) > NEAR_ZERO, out[season], np.nan))
     return out
 
 

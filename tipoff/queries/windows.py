@@ -132,7 +132,7 @@ def sql_team_form(windows=(7, 109), least=lambda w: 1) -> dict[str, str]:
     names = [f"{c}_{short}" for c in stats] + [f"{c}_ewm_{short}" for c in stats]
     names += [f"blowout_wins_{short}", f"blowout_losses_{short}"]
     names += [f"{n}_{short}" for n in sql_ratios(short)] + [f"ts_diff_{short}"]
-    versus = [f"{n} / nullif({n.replace(f'_{short}', f'_{long}')}, 0) as {n.replace(f'_{short}', '_vs_avg')}" for n in names]
+    versus = [f"case when abs({n.replace(f'_{short}', f'_{long}')}) > 1e-9 then {n} / {n.replace(f'_{short}', f'_{long}')} end as {n.replace(f'_{short}', '_vs_avg')}" for n in names]
     return {
         **TB, **STREAK_CTES,
         "f1": f"select {', '.join(base)}, {', '.join(cols)} from tbs",
@@ -342,8 +342,8 @@ _TGV = {
     "tgv": """select game_id, date, season_id, home_team as team, 'home' as side, latitude, longitude from season_games
         union all select game_id, date, season_id, guest_team, 'guest', latitude, longitude from season_games""",
     "lg0": f"select *, lag(latitude) over ({ORDER}) as plat, lag(longitude) over ({ORDER}) as plon from tgv",
-    "lg": """select *, coalesce(2*6371.0e0*asin(sqrt(least(1e0, pow(sin(radians(latitude - plat)/2), 2)
-        + cos(radians(plat))*cos(radians(latitude))*pow(sin(radians(longitude - plon)/2), 2)))), 0) as leg from lg0""",
+    "lg": """select *, coalesce(2*6371.0e0*asin(sqrt(pow(sin(radians(latitude - plat)/2), 2)
+        + cos(radians(plat))*cos(radians(latitude))*pow(sin(radians(longitude - plon)/2), 2))), 0) as leg from lg0""",
     "r": f"""select game_id, side, round(leg, 2) as d1,
         round(sum(leg) over (partition by season_id, team order by date range between interval 7 days preceding and current row)
           - coalesce(sum(leg) over (partition by season_id, team, date order by game_id
