@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tipoff.functions import scalar as S
 from tipoff.ml import attribution, combine, metrics, split
-from tipoff.operators import lineup, ratings, records, schedule
+from tipoff.operators import lineup, ratings, records, relational, schedule
 
 D = datetime.date
 GAMES = "game_id long, date date, season_id int, home_team int, guest_team int, pts_home double, pts_guest double"
@@ -184,3 +184,13 @@ def test_text_parsing(spark):
     got = df.select(S.long_date("d"), S.minutes("m"), S.number("n")).collect()
     assert tuple(got[0]) == (D(2025, 10, 21), 34.5, 7.0)
     assert tuple(got[1]) == (None, None, None) and tuple(got[2]) == (None, None, None)
+
+
+def test_player_join_must_give_rows(spark):
+    basic = spark.createDataFrame([(1, "a", 10.0), (1, "b", None), (2, "c", None)], "game_id long, player_name string, mp double")
+    joined = relational.keyed_on_values(basic, basic.withColumn("bpm", F.lit(1.0)), ["game_id", "player_name", "mp"])
+    assert [(r.game_id, r.player_name) for r in joined.collect()] == [(1, "a")]  # a NULL key never matches
+    kept = relational.require_rows(joined, basic.where("game_id = 1"), "game_id", "no rows")
+    assert kept.count() == 1
+    with pytest.raises(Exception, match="no rows: 2"):
+        relational.require_rows(joined, basic, "game_id", "no rows").collect()

@@ -50,10 +50,11 @@ def keyed_on_values(basic: DataFrame, advanced: DataFrame, keys: list[str]) -> D
     return basic.join(advanced, keys)
 
 
-def require_rows(df: DataFrame, key: str, message: str) -> DataFrame:
-    """Fail the query if a group of the result is empty: ``key`` must not be NULL after an outer join."""
-    checked = F.when(F.col(key).isNull(), F.raise_error(F.lit(message)).cast("string"))
-    return df.where(checked.isNull())
+def require_rows(joined: DataFrame, expected: DataFrame, key: str, message: str) -> DataFrame:
+    """``joined`` unchanged, but the query fails if a key of ``expected`` has no row in it."""
+    lost = expected.select(key).distinct().join(joined.select(key), key, "left_anti")
+    failing = lost.where(F.raise_error(F.concat(F.lit(f"{message}: "), F.col(key).cast("string"))).cast("boolean"))
+    return joined.unionByName(failing, allowMissingColumns=True)
 
 
 def scenario_pairs(games: DataFrame, scenarios: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tipoff import fixtures as fx
 from tipoff.fixtures import with_sql
-from tipoff.functions import select as pick
 from tipoff.operators import lineup, relational as R, views
 from tipoff.operators.schedule import team_dates
 from tipoff.queries.base import query, rounded
@@ -71,8 +70,7 @@ def j07(spark, sf_dir):
         "game_id", (F.col("player_id") % 7).alias("player_name"),
         F.when(F.col("player_id") % 11 != 0, F.col("mp")).alias("mp"), "pts", "bpm")
     joined = R.keyed_on_values(box.drop("bpm"), box.drop("pts"), ["game_id", "player_name", "mp"])
-    return R.require_rows(joined, "player_name", "player box score join gave no rows").select(
-        "game_id", "player_name", "mp", "pts", "bpm")
+    return joined.select("game_id", "player_name", "mp", "pts", "bpm")
 
 
 @query("j08_complement", with_sql("sched", """select game_id, date from sched where date < date '2000-01-01' and game_id not in

@@ -35,8 +35,8 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_by_season(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Season-partitioned Parquet. Rows of a season are spread by key, so a large season has many writers."""
-    df.write.mode(mode).partitionBy("season_id").parquet(path)
+    """Season-partitioned Parquet. Rebalancing gathers small seasons into few files and splits large ones."""
+    df.hint("rebalance", "season_id").write.mode(mode).partitionBy("season_id").parquet(path)
 
 
 def distinct_keys(df: DataFrame, key: str, season: int | None = None) -> DataFrame:
