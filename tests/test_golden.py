@@ -192,5 +192,5 @@ def test_player_join_must_give_rows(spark):
     assert [(r.game_id, r.player_name) for r in joined.collect()] == [(1, "a")]  # a NULL key never matches
     kept = relational.require_rows(joined, basic.where("game_id = 1"), "game_id", "no rows")
     assert kept.count() == 1
-    with pytest.raises(Exception, match="no rows: 2"):
-        relational.require_rows(joined, basic, "game_id", "no rows").collect()
+    with pytest.raises(ValueError, match="no rows: 2"):
+        relational.require_rows(joined, basic, "game_id", "no rows")
