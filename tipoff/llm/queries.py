@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tipoff.llm.decontaminate import find_windows, hit_report
 from tipoff.llm.jaccard import Similarity, near_duplicates
+from tipoff.llm.packing import pack, piece_report
+from tipoff.llm.secrets import find_secrets, secret_report
+from tipoff.llm.toxicity import CATEGORIES, fit_chain, score
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +32,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities and decisions of the classifier chain for every document."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score(documents, fit_chain(documents, table(spark, sf_dir, "labels"), CATEGORIES))
+    return scored.select("doc_id", "p_low_quality", "p_toxic", "is_low_quality", F.col("is_toxic").alias("toxic"))
+
+
 @query("op3_ngram_jaccard_join")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents linked by 85 % overlap of their 4-word n-grams."""
@@ -63,3 +75,16 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which words of each document lie inside a 10-word window of the benchmark."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return hit_report(find_windows(documents, table(spark, sf_dir, "benchmark").select("item_id", "text")))
+
+
+@query("op10_secret_scans")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
+    return secret_report(find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query("op9_packing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' token ids in sequences of 1024."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece_report(pack(documents, public_tokenizers.path("byte_bpe_50k.json")))
