@@ -5,20 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tipoff.llm.frames import broadcast_if_small
 from tipoff.session import written
 
 
+def _small(least: DataFrame) -> DataFrame:
+    """One row for each node, written so that Spark can split a node with very many edges where it is joined with them."""
+    return broadcast_if_small(written(least, "least"), 32)
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the smallest node around it."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
+    return both.where("b > a").join(_small(least), "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are tied to the smallest of these."""
-    least = edges.groupBy("b").agg(F.min("a").alias("m"))
-    tied = edges.where("true").join(least, "b").select(F.col("m").alias("a"), F.col("a").alias("b")).where("a < b")
+    least = _small(edges.groupBy("b").agg(F.min("a").alias("m")))
+    tied = edges.join(least, "b").select(F.col("m").alias("a"), F.col("a").alias("b")).where("a < b")
     return tied.unionByName(least.select(F.col("m").alias("a"), "b")).distinct()
 
 

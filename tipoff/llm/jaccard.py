@@ -35,6 +35,8 @@ from tipoff.session import written
 CELLS, CELL_BLOCK = 1 << 20, 1 << 12
 #: Odd multipliers: each gives another order of the hashes, whose smallest one is a minimum hash.
 ORDERS = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Partners of a document that are verified in one place.
+BLOCK_ROWS = 256
 
 
 @dataclass(frozen=True)
@@ -120,40 +122,61 @@ def _features(documents: DataFrame, rule: Similarity) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(features, FEATURES)
 
 
-def _sets(documents: DataFrame, ids: DataFrame, rule: Similarity) -> DataFrame:
-    """(doc_id, runs): the whole set, as ascending 64-bit hashes, of each document whose id is asked for."""
+def _verified(pairs: DataFrame, documents: DataFrame, rule: Similarity) -> DataFrame:
+    """The pairs (a, b) of document ids whose whole sets overlap enough.
+
+    The pairs are dealt out in blocks of one row of the product: a document ``a`` and at most about ``BLOCK_ROWS`` of its partners. A set travels once for
+    each block that needs it, and a document with any number of partners is spread over many blocks.
+    """
+    pairs = written(pairs.distinct(), "pairs")
+    blocks = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks")), "blocks")
+    partners = pairs.join(broadcast_if_small(blocks, 24), "a").select(
+        F.col("b").alias("doc_id"), F.struct("a", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"), F.lit(1).alias("role")).alias("use"))
+    heads = blocks.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")).select(
+        F.col("a").alias("doc_id"), F.struct("a", "block", F.lit(0).alias("role")).alias("use"))
+    asked = written(partners.unionByName(heads).groupBy("doc_id").agg(F.collect_list("use").alias("uses")), "asked")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(broadcast_if_small(asked, 100), "doc_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("a", pa.int64()), ("block", pa.int64()), ("role", pa.int32()), ("doc_id", pa.int64()), ("runs", pa.binary())])
+        yield from in_batches(uses(batches), schema)
+
+    def uses(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         hashes = WordHashes()
-        schema = pa.schema([("doc_id", pa.int64()), ("runs", pa.binary())])
         for batch in batches:
-            texts = zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)))
-            yield from in_batches(((i, distinct_runs(hashes.of(_words(t)), rule.words).tobytes()) for i, t in texts), schema)
-
-    asked = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(broadcast_if_small(ids, 16), "doc_id", "left_semi")
-    return asked.mapInArrow(sets, "doc_id long, runs binary")
-
-
-def _verified(pairs: DataFrame, documents: DataFrame, rule: Similarity) -> DataFrame:
-    """The pairs (a, b) of document ids whose whole sets overlap enough."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "asked")
-    sets = written(_sets(documents, ids, rule), "sets")
+            for doc_id, text, own in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), batch.column(2).to_pylist()):
+                runs = distinct_runs(hashes.of(_words(text)), rule.words).tobytes()
+                for use in own:
+                    yield use["a"], use["block"], use["role"], doc_id, runs
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                common = int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x)) if len(x) else 0
-                keep.append(bool(common) and rule.reached(common, len(x), len(y)))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        yield from in_batches(linked(batches), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    both = (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("runs").alias("x")), "a")
-            .join(sets.select(F.col("doc_id").alias("b"), F.col("runs").alias("y")), "b").select("a", "b", "x", "y"))
-    return written(both.mapInArrow(overlap, "a long, b long").distinct(), "links")
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        at, heads_now = None, []
+        for batch in batches:
+            for a, block, role, doc_id, runs in zip(*(c.to_pylist() for c in batch.columns)):
+                if (a, block) != at:
+                    at, heads_now = (a, block), []
+                runs = np.frombuffer(runs, np.uint64)
+                if role == 0:
+                    heads_now.append(runs)
+                elif any(_overlap_reached(head, runs, rule) for head in heads_now):
+                    yield a, doc_id
+
+    moved = texts.select("doc_id", "text", "uses").mapInArrow(sets, "a long, block long, role int, doc_id long, runs binary")
+    dealt = moved.repartition("a", "block").sortWithinPartitions("a", "block", "role")
+    return written(dealt.mapInArrow(overlap, "a long, b long").distinct(), "links")
+
+
+def _overlap_reached(x: np.ndarray, y: np.ndarray, rule: Similarity) -> bool:
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x) or rule.base * len(x) < rule.share * len(y):
+        return False
+    at = np.searchsorted(y, x)
+    common = int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x))
+    return rule.reached(common, len(x), len(y))
 
 
 def near_duplicates(documents: DataFrame, rule: Similarity) -> DataFrame:
@@ -167,10 +190,12 @@ def near_duplicates(documents: DataFrame, rule: Similarity) -> DataFrame:
     features = written(_features(documents.select("doc_id", "text"), rule), "features")
     known = features.where("doc_id is not null and n > 0")
     classes = written(known.groupBy("sig").agg(F.min(F.struct("doc_id", "n", "mins")).alias("least")).select("sig", "least.*"), "classes")
-    links = _verified(_first_pairs(classes, rule), documents, rule)
-    grouped = written(components(links), "groups")
+    grouped = classes.where("false").select(F.col("doc_id").alias("node"), F.col("doc_id").alias("label"))
+    for orders in ([0], list(range(1, len(ORDERS)))):
+        links = _verified(_first_pairs(classes, grouped, orders, rule), documents, rule)
+        grouped = written(components(_ties(grouped).unionByName(links)), "groups")
     more = _verified(_cross_pairs(features, classes, grouped, rule), documents, rule)
-    ties = grouped.select(F.col("label").alias("a"), F.col("node").alias("b")).unionByName(more).unionByName(_shared_ids(known, classes))
+    ties = _ties(grouped).unionByName(more).unionByName(_shared_ids(known, classes))
     labels = components(ties)
     named = classes.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "sig", F.coalesce("label", "doc_id").alias("component_id"))
@@ -187,12 +212,19 @@ def _shared_ids(known: DataFrame, classes: DataFrame) -> DataFrame:
     return held.join(least, "doc_id").select("a", F.col("class_id").alias("b")).where("a <> b")
 
 
-def _first_pairs(classes: DataFrame, rule: Similarity) -> DataFrame:
-    """Each class with the smallest class that has the same minimum hash: at most one pair for each class and order."""
-    entries = classes.select("doc_id", "n", F.posexplode("mins").alias("k", "least"))
-    centres = entries.groupBy("k", "least").agg(F.min(F.struct("doc_id", "n")).alias("c"), F.count("*").alias("size")).where("size > 1")
-    return (entries.join(centres, ["k", "least"]).where(F.col("doc_id") != F.col("c.doc_id")).where(rule.sizes_fit("n", "c.n"))
-            .select(F.col("c.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct())
+def _ties(grouped: DataFrame) -> DataFrame:
+    return grouped.select(F.col("label").alias("a"), F.col("node").alias("b"))
+
+
+def _first_pairs(classes: DataFrame, grouped: DataFrame, orders: list[int], rule: Similarity) -> DataFrame:
+    """Each class with the smallest class that has the same minimum hash, if they are in different groups so far."""
+    group = broadcast_if_small(grouped.withColumnRenamed("node", "doc_id"), 32)
+    own = classes.join(group, "doc_id", "left").withColumn("g", F.coalesce("label", "doc_id"))
+    entries = own.select("doc_id", "n", "g", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.get("mins", F.lit(k)).alias("least")) for k in orders])).alias("e"))
+    entries = entries.select("doc_id", "n", "g", "e.k", "e.least")
+    centres = entries.groupBy("k", "least").agg(F.min(F.struct("doc_id", "n", "g")).alias("c"), F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi")
+    return (entries.join(broadcast_if_small(written(centres.select("k", "least", "c"), "centres"), 56), ["k", "least"]).where("g <> c.g")
+            .where(rule.sizes_fit("n", "c.n")).select(F.col("c.doc_id").alias("a"), F.col("doc_id").alias("b")))
 
 
 def _cross_pairs(features: DataFrame, classes: DataFrame, grouped: DataFrame, rule: Similarity) -> DataFrame:
@@ -205,8 +237,7 @@ def _cross_pairs(features: DataFrame, classes: DataFrame, grouped: DataFrame, ru
     live = written(entries.join(broadcast_if_small(shared, 16), "column"), "entries")
     left = live.select("column", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("g").alias("ga"))
     right = live.select("column", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("g").alias("gb"))
-    return (left.join(right, "column").where("a < b and ga <> gb").where(rule.sizes_fit("na", "nb"))
-            .select("a", "b").distinct())
+    return left.join(right, "column").where("a < b and ga <> gb").where(rule.sizes_fit("na", "nb")).select("a", "b")
 
 
 def without_near_duplicates(documents: DataFrame, rule: Similarity = Similarity(5, 80)) -> DataFrame:

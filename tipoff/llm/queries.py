@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tipoff.llm.decontaminate import find_windows, hit_report
+from tipoff.llm.html_text import extract
 from tipoff.llm.jaccard import Similarity, near_duplicates
 from tipoff.llm.packing import pack, piece_report
+from tipoff.llm.quality import judge
 from tipoff.llm.secrets import find_secrets, secret_report
+from tipoff.llm.sharding import place
+from tipoff.llm.token_files import id_report, read_ids, write_ids
 from tipoff.llm.toxicity import CATEGORIES, fit_chain, score
+from tipoff.session import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +93,30 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' token ids in sequences of 1024."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return piece_report(pack(documents, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+@query("op1_html_extraction")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract(table(spark, sf_dir, "pages"))
+
+
+@query("op4_quality_rules")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document; strata are languages."""
+    return judge(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_sharding")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slot and shard of every document among 64 shards."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return place(documents, ["doc_id"], [f"shard-{k:03d}" for k in range(64)])
+
+
+@query("op7_token_files")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' token ids, written to files and read back."""
+    path = new_path(spark, "token-ids")
+    write_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return id_report(read_ids(spark, path))
