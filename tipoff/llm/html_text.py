@@ -205,14 +205,16 @@ def main_text(page: str | None) -> str:
     blocks = blocks_of(page or "")
     only_marked = any(b.marked and not b.apart for b in blocks)
     first = [_first_pass(b, only_marked) for b in blocks]
+    # in a marked article, other regions inside it say nothing about the blocks beside them
+    decided = [None if only_marked and (b.apart or not b.marked) else state for b, state in zip(blocks, first)]
     before: list[bool | None] = []
     last = None
-    for state in first:
+    for state in decided:
         last = last if state is None else state
         before.append(last)
     kept, last = [False] * len(blocks), None
     for k in range(len(blocks) - 1, -1, -1):
-        last = last if first[k] is None else first[k]
+        last = last if decided[k] is None else decided[k]
         if first[k] is not None:
             kept[k] = first[k]
         elif only_marked:  # what is inside the article and not boilerplate by itself follows its nearest text, or stands alone
