@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tipoff.llm.decontaminate import find_windows, hit_report
 from tipoff.llm.html_text import extract
 from tipoff.llm.jaccard import Similarity, near_duplicates
+from tipoff.llm.licenses import scan
 from tipoff.llm.packing import pack, piece_report
 from tipoff.llm.quality import judge
 from tipoff.llm.secrets import find_secrets, secret_report
@@ -120,3 +121,18 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-ids")
     write_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.path("word_bpe_49k.json"))
     return id_report(read_ids(spark, path))
+
+
+@query("op6_license_scans")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stated and inherited licence of every document.
+
+    Paths are made from the table: source, language and hundreds of doc_id give directories of depth one to three; every twentieth
+    document is its directory's licence file, if it states one.
+    """
+    number = F.col("doc_id").cast("string")
+    folders = F.array(F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.floor(F.col("doc_id") / 100).cast("string"))
+    depth = F.pmod(F.col("doc_id"), F.lit(3)).cast("int") + 1
+    name = F.when(F.col("doc_id") % 20 == 0, F.concat(F.lit("LICENSE-"), number)).otherwise(F.concat(number, F.lit(".txt")))
+    files = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", F.slice(folders, 1, depth), name).alias("path"), "text")
+    return scan(files, "path rlike '(^|/)LICENSE[^/]*$'", ["doc_id"])
