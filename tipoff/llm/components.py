@@ -5,25 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tipoff.llm.frames import broadcast_if_small
+from tipoff.llm.frames import BROADCAST_BYTES
 from tipoff.session import written
 
 
-def _small(least: DataFrame) -> DataFrame:
-    """One row for each node, written so that Spark can split a node with very many edges where it is joined with them."""
-    return broadcast_if_small(written(least, "least"), 32)
+def _small(least: DataFrame, rows: int) -> DataFrame:
+    """At most ``rows`` rows, one for each node, broadcast if they are few. Else they are written, so that Spark can split a node with very
+    many edges where it is joined with them."""
+    return F.broadcast(least) if 32 * rows <= BROADCAST_BYTES else written(least, "least")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Every larger neighbour of a node is tied to the smallest node around it."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.where("b > a").join(_small(least), "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
+    return both.where("b > a").join(_small(least, 2 * n), "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """A node and its smaller neighbours are tied to the smallest of these."""
-    least = _small(edges.groupBy("b").agg(F.min("a").alias("m")))
+    least = _small(edges.groupBy("b").agg(F.min("a").alias("m")), n)
     tied = edges.join(least, "b").select(F.col("m").alias("a"), F.col("a").alias("b")).where("a < b")
     return tied.unionByName(least.select(F.col("m").alias("a"), "b")).distinct()
 
@@ -38,7 +39,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges, "edges")
     mark = _mark(edges)
     while True:
-        edges = written(_small_star(_large_star(edges)), "edges")
+        n = mark[0]
+        larger = _large_star(edges, n)  # at most a row for each edge and direction
+        edges = written(_small_star(larger, 2 * n), "edges")
         now = _mark(edges)
         if now == mark:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("label")).unionByName(

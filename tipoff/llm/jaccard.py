@@ -9,7 +9,8 @@ the overlaps; only entries that can reach the bound are made:
   differ by more than t are dropped at once.
 * A first, partial product over a few minimum-hash columns joins each class with one member of its column, and
   verifies these links. It ties together large groups of near copies with a number of links proportional to their size. The second product
-  then only makes entries between different groups so found, which is all that can still change a group.
+  then only makes entries between different groups so found, which is all that can still change a group, and leaves out columns of
+  one class alone, whose number bounds what is left to share.
 * The entries left are verified with exact overlap counts of the whole sets, block by block.
 """
 
@@ -93,12 +94,12 @@ FEATURES = schema_of(doc_id=T.LongType(), n=T.LongType(), sig=T.BinaryType(), mi
                      prefix=T.ArrayType(T.LongType()))
 
 
-def _features(documents: DataFrame, rule: Similarity) -> DataFrame:
+def _features(documents: DataFrame, rule: Similarity, levels: bytes) -> DataFrame:
     """Size, signature, minimum hashes and first columns of every document's set."""
-    levels = documents.sparkSession.sparkContext.broadcast(_sketch(documents, rule))
+    sent = documents.sparkSession.sparkContext.broadcast(levels)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, level = WordHashes(), np.frombuffer(levels.value, np.uint8)
+        hashes, level = WordHashes(), np.frombuffer(sent.value, np.uint8)
         orders = [np.uint64(m) for m in ORDERS]
         for batch in batches:
             n, sig, mins, prefix, lengths = [], [], [], [], []
@@ -129,13 +130,14 @@ def _verified(pairs: DataFrame, documents: DataFrame, rule: Similarity) -> DataF
     each block that needs it, and a document with any number of partners is spread over many blocks.
     """
     pairs = written(pairs.distinct(), "pairs")
-    blocks = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks")), "blocks")
-    partners = pairs.join(broadcast_if_small(blocks, 24), "a").select(
+    n_pairs = pairs.count()
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))  # at most a row for each pair
+    partners = pairs.join(broadcast_if_small(blocks, 24, n_pairs), "a").select(
         F.col("b").alias("doc_id"), F.struct("a", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"), F.lit(1).alias("role")).alias("use"))
     heads = blocks.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")).select(
         F.col("a").alias("doc_id"), F.struct("a", "block", F.lit(0).alias("role")).alias("use"))
-    asked = written(partners.unionByName(heads).groupBy("doc_id").agg(F.collect_list("use").alias("uses")), "asked")
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(broadcast_if_small(asked, 100), "doc_id")
+    asked = partners.unionByName(heads).groupBy("doc_id").agg(F.collect_list("use").alias("uses"))  # at most two uses for each pair
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(broadcast_if_small(asked, 64, 2 * n_pairs), "doc_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("block", pa.int64()), ("role", pa.int32()), ("doc_id", pa.int64()), ("runs", pa.binary())])
@@ -187,14 +189,17 @@ def near_duplicates(documents: DataFrame, rule: Similarity) -> DataFrame:
     one document with several texts: what links to one of them links to all, and each row is returned. A row
     without doc_id keeps a null ``component_id`` and ties nothing.
     """
-    features = written(_features(documents.select("doc_id", "text"), rule), "features")
+    levels = _sketch(documents, rule)
+    features = written(_features(documents.select("doc_id", "text"), rule, levels), "features")
     known = features.where("doc_id is not null and n > 0")
     classes = written(known.groupBy("sig").agg(F.min(F.struct("doc_id", "n", "mins")).alias("least")).select("sig", "least.*"), "classes")
     grouped = classes.where("false").select(F.col("doc_id").alias("node"), F.col("doc_id").alias("label"))
-    for orders in ([0], list(range(1, len(ORDERS)))):
-        links = _verified(_first_pairs(classes, grouped, orders, rule), documents, rule)
-        grouped = written(components(_ties(grouped).unionByName(links)), "groups")
-    more = _verified(_cross_pairs(features, classes, grouped, rule), documents, rule)
+    links = _verified(_first_pairs(classes, grouped, [0], rule), documents, rule)
+    # in one order a class has one centre, so these links are stars and their centres the groups
+    grouped = links.select(F.col("b").alias("node"), F.col("a").alias("label"))
+    links = links.unionByName(_verified(_first_pairs(classes, grouped, list(range(1, len(ORDERS))), rule), documents, rule))
+    grouped = written(components(links), "groups")
+    more = _verified(_cross_pairs(features, classes, grouped, documents, rule, levels), documents, rule)
     ties = _ties(grouped).unionByName(more).unionByName(_shared_ids(known, classes))
     labels = components(ties)
     named = classes.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
@@ -227,17 +232,76 @@ def _first_pairs(classes: DataFrame, grouped: DataFrame, orders: list[int], rule
             .where(rule.sizes_fit("n", "c.n")).select(F.col("c.doc_id").alias("a"), F.col("doc_id").alias("b")))
 
 
-def _cross_pairs(features: DataFrame, classes: DataFrame, grouped: DataFrame, rule: Similarity) -> DataFrame:
-    """Pairs of classes of different groups that share one of their first columns."""
+def _cross_pairs(features: DataFrame, classes: DataFrame, grouped: DataFrame, documents: DataFrame, rule: Similarity, levels: bytes) -> DataFrame:
+    """Pairs of classes of different groups that can still reach the bound.
+
+    First, with columns in the order of the sketch, the classes are found that share one of their first columns with another group; no
+    others can have a partner. Among these, the columns that only one class has are counted exactly. They come first in the order of the second
+    product and never meet, so it has few entries; its pairs must share a column within the first ones that their two sizes allow,
+    and have enough columns that are not theirs alone.
+    """
     chosen = features.select("sig", "doc_id", "n", "prefix").join(classes.select("sig", "doc_id"), ["sig", "doc_id"]).dropDuplicates(["sig", "doc_id"])
     group = broadcast_if_small(grouped.withColumnRenamed("node", "doc_id"), 32)
     chosen = written(chosen.join(group, "doc_id", "left").select("doc_id", "n", F.coalesce("label", "doc_id").alias("g"), "prefix"), "chosen")
-    entries = chosen.select("doc_id", "n", "g", F.explode("prefix").alias("column"))
-    shared = written(entries.groupBy("column").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("column"), "columns")
-    live = written(entries.join(broadcast_if_small(shared, 16), "column"), "entries")
-    left = live.select("column", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("g").alias("ga"))
-    right = live.select("column", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("g").alias("gb"))
-    return left.join(right, "column").where("a < b and ga <> gb").where(rule.sizes_fit("na", "nb")).select("a", "b")
+    near = written(_between_groups(chosen.select("doc_id", "n", "g", F.explode("prefix").alias("column"))).select("doc_id", "n", "g").distinct(), "near")
+    asked = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    tokens = asked.join(broadcast_if_small(near.select("doc_id").distinct(), 16), "doc_id").mapInArrow(_columns_of(rule), "doc_id long, column long")
+    # a class with several texts of one doc_id counts as one
+    alone = tokens.groupBy("column").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).where("doc_id = last")
+    alone = alone.groupBy("doc_id").agg(F.collect_list("column").alias("alone"))
+    kept = written(near.join(alone, "doc_id", "left").select("doc_id", "n", "g", F.coalesce("alone", F.array().cast("array<long>")).alias("alone")), "alone")
+    placed = asked.join(broadcast_if_small(kept, 600), "doc_id").select("doc_id", "n", "g", "alone", "text")
+    sent = documents.sparkSession.sparkContext.broadcast(levels)
+    entries = placed.mapInArrow(_first_shared(rule, sent), "doc_id long, n long, g long, shared long, place long, column long")
+    live = written(_between_groups(entries), "entries")
+    left = live.select("column", *[F.col(c).alias(f"{c}_a") for c in ("doc_id", "n", "g", "shared", "place")])
+    right = live.select("column", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "g", "shared", "place")])
+    least = F.ceil(F.expr(f"{rule.share} * (n_a + n_b)") / (rule.base + rule.share))  # overlap that the bound asks for
+    return (left.join(right, "column").where("doc_id_a < doc_id_b and g_a <> g_b").where(rule.sizes_fit("n_a", "n_b"))
+            .where((F.least("shared_a", "shared_b") >= least) & (F.col("place_a") + least <= F.col("n_a")) & (F.col("place_b") + least <= F.col("n_b")))
+            .select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")))
+
+
+def _between_groups(entries: DataFrame) -> DataFrame:
+    """The entries of columns that classes of different groups have."""
+    shared = entries.groupBy("column").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("column")
+    return entries.join(broadcast_if_small(written(shared, "columns"), 16), "column")
+
+
+def _columns_of(rule: Similarity):
+    """(doc_id, column) for every n-gram of each document's set."""
+
+    def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1))):
+                runs = distinct_runs(hashes.of(_words(text)), rule.words).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(runs), doc_id, np.int64)), pa.array(runs)], names=["doc_id", "column"])
+
+    return columns
+
+
+def _first_shared(rule: Similarity, sent):
+    """The first columns of each document that others have too, with their places behind the document's own."""
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, level = WordHashes(), np.frombuffer(sent.value, np.uint8)
+        for batch in batches:
+            ids, sizes, groups, alone = (batch.column(k).to_pylist() for k in range(4))
+            for doc_id, n, g, own, text in zip(ids, sizes, groups, alone, raw_texts(batch.column(4))):
+                runs = distinct_runs(hashes.of(_words(text)), rule.words)
+                shared = np.setdiff1d(runs, np.array(own, np.int64).view(np.uint64), assume_unique=True)
+                u = len(runs) - len(shared)
+                rank = level[(shared & np.uint64(CELLS - 1)).astype(np.int64)]
+                picked = shared[np.argsort(rank, kind="stable")[:max(0, rule.prefix(len(runs)) - u)]]
+                k = len(picked)
+                if k:
+                    same = lambda value: pa.array(np.full(k, value, np.int64))
+                    yield pa.RecordBatch.from_arrays(
+                        [same(doc_id), same(len(runs)), same(g), same(len(shared)), pa.array(np.arange(u, u + k)), pa.array(picked.view(np.int64))],
+                        names=["doc_id", "n", "g", "shared", "place", "column"])
+
+    return first
 
 
 def without_near_duplicates(documents: DataFrame, rule: Similarity = Similarity(5, 80)) -> DataFrame:
