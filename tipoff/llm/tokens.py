@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import os
 import re
-import struct
 from functools import lru_cache
 
 import numpy as np
@@ -18,39 +17,67 @@ from tokenizers import Tokenizer
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the cores
 
 _ODD = re.compile("[\x1c-\x1f]")
+_WORD_END = "</w>"  # how the vocabulary of words marks an id that ends a word
 _WITH_SPACE = re.compile(r"\s*\S+|\s+")
 
 
-class Encoder(dict):
+class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers. Keeps the ids of at most ``limit`` words."""
 
-    def __init__(self, path: str, spaces: bool, limit: int = 300_000):
-        super().__init__()
+    def __init__(self, path: str, spaces: bool, limit: int = 600_000):
+        self.known: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # the strings of special tokens are ordinary text
+        self.spaces, self.limit = spaces, limit
         self.words = _WITH_SPACE.findall if spaces else str.split
-        self.limit = limit
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of text that each id stands for
+        for token, number in vocabulary.items():
+            self.bytes_of[number] = len(token.removesuffix(_WORD_END))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _in_a_row(self, word: str) -> bool:
+        """Whether the word keeps its ids and its bytes when it is encoded behind others."""
+        return word[0].isspace() and not word.isspace() if self.spaces else word.isascii() and word.isprintable()
+
     def _learn(self, words: list[str]) -> None:
-        for word, coded in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            ids = coded.ids
-            self[word] = struct.pack(f"<{len(ids)}I", *ids)
+        """New words are encoded in one text; the bytes that ids stand for tell where each word ends."""
+        row: list[str] = []
+        rest: list[str] = []
+        for word in words:
+            (row if self._in_a_row(word) else rest).append(word)
+        if row:
+            text = ("" if self.spaces else " ").join(row)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum(self.bytes_of[ids])
+            wanted = np.cumsum([len(w.encode()) for w in row])
+            last = np.minimum(np.searchsorted(ends, wanted), len(ends) - 1)
+            if (ends[last] == wanted).all() and last[-1] == len(ends) - 1:
+                raw, start = ids.tobytes(), 0
+                for word, end in zip(row, (4 * (last + 1)).tolist()):
+                    self.known[word] = raw[start:end]
+                    start = end
+            else:
+                rest += row
+        for word, coded in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            self.known[word] = np.array(coded.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        split: list[list[str] | None] = [None if _ODD.search(t) else self.words(t) for t in texts]
+        split: list[list[str]] = [[] if _ODD.search(t) else self.words(t) for t in texts]
         out: list[bytes] = []
-        for k in range(0, len(texts), 64):
-            part = split[k:k + 64]
-            new = list({w for s in part if s for w in s if w not in self})
-            if len(self) + len(new) > self.limit:
-                self.clear()
-                new = list({w for s in part if s for w in s})
-            self._learn(new)
-            out += [self.whole(t) if s is None else b"".join(map(self.__getitem__, s)) for t, s in zip(texts[k:k + 64], part)]
+        for k in range(0, len(texts), 16):
+            part = split[k:k + 16]
+            found = set().union(*part)
+            new = found.difference(self.known)
+            if len(self.known) + len(new) > self.limit:
+                self.known.clear()
+                new = found
+            if new:
+                self._learn(list(new))
+            out += [b"".join(map(self.known.__getitem__, s)) if s else self.whole(t) for t, s in zip(texts[k:k + 16], part)]
         return out
 
 
