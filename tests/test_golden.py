@@ -118,8 +118,9 @@ def test_roster_scenarios(spark):
     for r in lineup.roster_scenarios(roster).collect():
         got.setdefault(r.scenario_id, set()).add(r.player_id)
     assert sorted(map(sorted, got.values())) == [[1, 2, 3, 5], [1, 2, 5], [1, 3, 5], [1, 5]]
-    with pytest.raises(Exception, match="too many doubtful"):
-        lineup.roster_scenarios(roster, max_doubtful=1).collect()
+    many = [(2, p, "x", "Day-To-Day") for p in range(12)] + [(2, 99, "y", None)]
+    squads = lineup.roster_scenarios(spark.createDataFrame(many, roster.schema))
+    assert squads.select("scenario_id").distinct().count() == 2**12
 
 
 def test_minutes_and_ranks(spark):
@@ -194,3 +195,25 @@ def test_player_join_must_give_rows(spark):
     assert kept.count() == 1
     with pytest.raises(ValueError, match="no rows: 2"):
         relational.require_rows(joined, basic, "game_id", "no rows")
+
+
+def test_record_stream_counts_repeated_and_late_games_once(spark):
+    from tipoff.streaming.records import SEEN, records_batch
+
+    schema = "game_id long, date string, season_id int, home_team int, guest_team int, is_home_win boolean"
+
+    def batch(*rows):
+        return spark.createDataFrame(rows, schema).withColumn("date", F.col("date").cast("date"))
+
+    first, again = (1, "2000-01-01", 2000, 1, 2, True), (3, "2000-01-05", 2000, 1, 2, True)
+    late, unplayed = (2, "2000-01-03", 2000, 2, 1, False), (4, "2000-01-07", 2000, 1, 2, None)
+    played = (*unplayed[:5], True)
+    seen = batch().select(*SEEN)
+    told = {}
+    for rows in ((first, again), (again, late, unplayed), (played, late), ((5, "2000-01-09", 2000, 1, 2, None),)):
+        out, kept = records_batch(batch(*rows), seen)
+        for r in out.collect():
+            assert r.id not in told
+            told[r.id] = (r.wins_before, r.losses_before)
+        seen = spark.createDataFrame(seen.unionByName(kept.select(*SEEN)).collect(), seen.schema)
+    assert {k: told[f"{k}_1"] for k in (1, 2, 3, 4, 5)} == {1: (0, 0), 3: (1, 0), 2: (1, 0), 4: (3, 0), 5: (4, 0)}

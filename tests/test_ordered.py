@@ -113,3 +113,35 @@ def test_arrow_block_equals_jvm_windows(skewed):
     strict = lambda c, w: form.min_games(w, False)
     f.lagged(["x"]).rolling(["x"], [3, 9], strict).weighted(["x"], [3, 9], strict)
     same(arrow, f.done(arrow.columns), keys=("player_id", "game_id"))
+
+
+def test_running_keeps_rows_with_null_keys_and_dates(spark):
+    from pyspark.sql import functions as F
+    from tipoff.operators.ordered import Timeline, running
+
+    rows = [(1, "a", "2000-01-01", 1), (2, "a", "2000-01-02", 2), (3, "a", None, 4), (4, None, "2000-01-01", 8), (5, None, "2000-01-03", 16), (6, "a", None, 32)]
+    df = spark.createDataFrame(rows, "game_id long, team string, date string, x long").withColumn("date", F.col("date").cast("date"))
+    got = {r.game_id: (r.s, r.t) for r in running(df, Timeline(("team",)), sums={"s": F.col("x")}, totals={"t": F.col("x")}).collect()}
+    assert got == {3: (0, 39), 6: (4, 39), 1: (36, 39), 2: (37, 39), 4: (0, 24), 5: (8, 24)}
+
+
+def test_shuffle_key_takes_any_id(spark):
+    from pyspark.sql import functions as F
+    from tipoff.ml.split import shuffle_key, stratified_folds, test_fold
+
+    big = spark.createDataFrame([(4_000_000_000,), (9_007_199_254_740_993,), (-5,), (2**63 - 1,)], "id long")
+    want = {i: (i % 2**32) * 2654435761 % 2**32 for i in (4_000_000_000, 9_007_199_254_740_993, -5, 2**63 - 1)}
+    assert {r.id: r.h for r in big.select("id", shuffle_key(big, "id").alias("h")).collect()} == want
+    text = spark.createDataFrame([(f"g{k}", k % 2 == 0) for k in range(40)] + [("n", None)], "game_id string, win boolean")
+    folds = stratified_folds(text, "win", folds=4).collect()
+    assert len(folds) == 41 and {sum(r.fold == f and r.win is True for r in folds) for f in range(4)} == {5}
+    few = spark.createDataFrame([(1, "2000-01-01")], "game_id long, date string").withColumn("date", F.col("date").cast("date"))
+    assert [r.fold for r in test_fold(few, 5).collect()] == [None]
+
+
+def test_undefined_score_is_the_worst(spark):
+    from tipoff.ml.metrics import score
+
+    none = spark.createDataFrame([], "y boolean, p double")
+    assert score(none, "y", "p", "log_loss") == score(none, "y", "p", "brier_score") == float("inf")
+    assert score(none, "y", "p", "neg_log_loss") == float("-inf") and score(none, "y", "p", "f1") == score(none, "y", "p", "roc_auc") == 0.0

@@ -119,11 +119,11 @@ def player_box(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def roster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Squads of at most 250 supplier keys spread over 25 nations, so that squads, not squad sizes, grow."""
+    """Suppliers as players of their nation's team."""
     key = F.col("s_suppkey")
     return table(spark, sf_dir, "supplier").select(
         key.alias("player_id"), F.col("s_name").alias("player_name"),
-        (F.col("s_nationkey") + 25 * F.floor(key / 250)).cast("bigint").alias("team_id"),
+        F.col("s_nationkey").cast("bigint").alias("team_id"),
         F.when(key % 10 == 0, F.lit("Day-To-Day")).when(key % 10 == 1, F.lit("Out for season")).alias("injury"),
     )
 
@@ -208,7 +208,7 @@ SQL = {
         select game_id, date, season_id, guest_team, home_team, 'guest', not is_home_win from games""",
     "player_box": _sql_player_box(),
     "roster": """select s_suppkey as player_id, s_name as player_name,
-        cast(s_nationkey + 25 * floor(s_suppkey / 250) as bigint) as team_id,
+        cast(s_nationkey as bigint) as team_id,
         case when s_suppkey % 10 = 0 then 'Day-To-Day' when s_suppkey % 10 = 1 then 'Out for season' end as injury
         from supplier""",
     "pred": """select game_id, pts_home > pts_guest as is_home_win,

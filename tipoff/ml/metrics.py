@@ -147,7 +147,10 @@ def score(df: DataFrame, label: str, proba: str, metric: str, threshold: float =
     else:
         row = evaluate(df, label, proba, [metric], threshold)
     value = row.first()[metric]
-    return 0.0 if value is None else float(value)  # an undefined score counts as 0
+    if value is None:  # an undefined score is the worst there is
+        worst = 0.0 if metric in RANKED or not METRICS[metric].needs_proba else float("-inf")
+        return worst if metric in RANKED or METRICS[metric].maximise else float("inf")
+    return float(value)
 
 
 # ---------------------------------------------------------------------------

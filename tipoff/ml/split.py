@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tipoff.operators.ordered import ALL_GAMES, ORDINAL, TOTAL, Timeline, running, with_ordinal
 
@@ -45,10 +46,10 @@ def expanding_folds(df: DataFrame, folds: int = 5) -> DataFrame:
 
 
 def test_fold(df: DataFrame, folds: int = 5) -> DataFrame:
-    """The fold in which each row is tested under ``expanding_folds``; NULL for the first block."""
+    """The fold in which each row is tested under ``expanding_folds``; NULL for the first block, and for all rows if they are too few."""
     rows = _placed(df)
     block = F.floor(F.col(TOTAL) / (folds + 1))
-    fold = folds - 1 - F.floor((F.col(TOTAL) - 1 - F.col(ORDINAL)) / block)
+    fold = folds - 1 - F.floor(F.try_divide(F.col(TOTAL) - 1 - F.col(ORDINAL), block))
     return rows.select(*df.columns, F.when(fold >= 0, fold).cast("bigint").alias("fold"))
 
 
@@ -56,14 +57,20 @@ def test_fold(df: DataFrame, folds: int = 5) -> DataFrame:
 _HASH_FACTOR, _HASH_RANGE, _HASH_CHUNK = 2654435761, 2**32, 2**20
 
 
-def shuffle_key(key: str, seed: int = 0) -> Column:
-    """Reproducible pseudo-random number of a numeric key."""
-    return F.pmod((F.col(key) + seed) * F.lit(_HASH_FACTOR), F.lit(_HASH_RANGE))
+def shuffle_key(df: DataFrame, key: str, seed: int = 0) -> Column:
+    """Reproducible pseudo-random number below 2**32 of a whole number, or of any other key by way of its hash.
+
+    The product is taken in two halves of the factor, so that no key overflows.
+    """
+    whole = isinstance(df.schema[key].dataType, T.IntegralType)
+    small = F.pmod(F.pmod(F.col(key).cast("bigint") if whole else F.xxhash64(key), F.lit(_HASH_RANGE)) + seed, F.lit(_HASH_RANGE))
+    high, low = divmod(_HASH_FACTOR, 2**16)
+    return (((small * high) % 2**16) * 2**16 + small * low) % F.lit(_HASH_RANGE)
 
 
 def stratified_folds(df: DataFrame, label: str, key: str = "game_id", folds: int = 5, seed: int = 0) -> DataFrame:
     """Shuffled folds with the same share of each label: place within the label in hash order, modulo folds."""
-    hashed = df.select("*", shuffle_key(key, seed).alias("__h")).select(
+    hashed = df.select("*", shuffle_key(df, key, seed).alias("__h")).select(
         "*", F.floor(F.col("__h") / _HASH_CHUNK).alias("__chunk"))
     line = Timeline((label,), chunk="__chunk", order=("__h", key))
     rows = running(hashed, line, sums={ORDINAL: F.lit(1)})

@@ -144,31 +144,25 @@ def home_away_features(players: DataFrame, games: DataFrame, top_n: int = 10) ->
 # Scenarios
 # ---------------------------------------------------------------------------
 
-MAX_DOUBTFUL = 20
-
-
 def available(roster: DataFrame) -> DataFrame:
     """Everyone healthy or day-to-day; ``doubtful`` marks the latter."""
     return roster.where(is_available("injury")).select(
         "team_id", "player_id", "player_name", F.col("injury").isNotNull().alias("doubtful"))
 
 
-def roster_scenarios(roster: DataFrame, max_doubtful: int = MAX_DOUBTFUL) -> DataFrame:
+def roster_scenarios(roster: DataFrame) -> DataFrame:
     """All healthy players with every subset of the doubtful ones: 2^k scenarios per team.
 
-    The number of scenarios doubles per doubtful player, so a team beyond ``max_doubtful`` fails the query
-    instead of being cut short. Bit ``i`` of ``scenario_id`` tells whether the i-th doubtful player plays.
+    The number of scenarios doubles per doubtful player, so ask for the teams that are needed only.
+    Bit ``i`` of ``scenario_id`` tells whether the i-th doubtful player plays.
     """
     squad = available(roster)
     team = Window.partitionBy("team_id")
     numbered = squad.select(
         "*", F.count_if("doubtful").over(team).alias("k"),
         (F.count_if("doubtful").over(team.orderBy("player_id").rowsBetween(UNBOUNDED, 0)) - 1).alias("bit"))
-    k = F.when(F.col("k") > max_doubtful, F.raise_error(
-        F.concat(F.lit("too many doubtful players in team "), F.col("team_id").cast("string"))).cast("bigint")
-    ).otherwise(F.col("k"))
-    spread = numbered.select(
-        "*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.pow(F.lit(2.0), k).cast("bigint") - 1)).alias("scenario_id"))
+    last = F.pow(F.lit(2.0), F.col("k")).cast("bigint") - 1
+    spread = numbered.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("scenario_id"))
     plays = F.expr("cast(floor(scenario_id / pow(2, bit)) as bigint) % 2 = 1")
     return spread.where(~F.col("doubtful") | plays).select("team_id", "scenario_id", "player_id", "doubtful")
 

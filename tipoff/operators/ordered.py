@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 UNBOUNDED = Window.unboundedPreceding
-ORDINAL, TOTAL, BLOCK, HOME = "ordinal", "entity_rows", "__block", "__home"
+ORDINAL, TOTAL, BLOCK, HOME, PLACE = "ordinal", "entity_rows", "__block", "__home", "__place"
 
 
 @dataclass(frozen=True)
@@ -54,32 +54,37 @@ def running(
     ``sums``   name -> expression, summed over the earlier rows (0 when there are none)
     ``lasts``  name -> expression, its latest non-NULL value among the earlier rows
     ``totals`` name -> expression, summed over the whole entity
+
+    Rows with a NULL key or chunk stay: NULL is a key like any other, and a NULL chunk comes before all others.
     """
     sums, lasts, totals = sums or {}, lasts or {}, totals or {}
-    place = [*line.keys, line.chunk]
-    inside = Window.partitionBy(*place).orderBy(*line.order).rowsBetween(UNBOUNDED, -1)
+    # one struct as the key: unlike its NULL fields, it is never NULL itself, so the join loses no row
+    place = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate((*line.keys, line.chunk))])
+    keys = [F.col(f"{PLACE}.k{i}") for i in range(len(line.keys))]
+    inside = Window.partitionBy(PLACE).orderBy(*line.order).rowsBetween(UNBOUNDED, -1)
     ticket = F.struct(*line.order)
 
-    rows = df.select(
+    placed = df.withColumn(PLACE, place)
+    rows = placed.select(
         "*",
         *[F.sum(e).over(inside).alias(f"__in_{n}") for n, e in sums.items()],
         *[F.last(e, ignorenulls=True).over(inside).alias(f"__in_{n}") for n, e in lasts.items()],
     )
-    per_chunk = df.groupBy(*place).agg(
+    per_chunk = placed.groupBy(PLACE).agg(
         *[F.sum(e).alias(f"__c_{n}") for n, e in sums.items()],
         *[F.max_by(e, F.when(e.isNotNull(), ticket)).alias(f"__c_{n}") for n, e in lasts.items()],
         *[F.sum(e).alias(f"__t_{n}") for n, e in totals.items()],
         F.count(F.lit(1)).alias("__rows"),
     )
-    earlier = Window.partitionBy(*line.keys).orderBy(line.chunk).rowsBetween(UNBOUNDED, -1)
-    whole = Window.partitionBy(*line.keys)
+    earlier = Window.partitionBy(*keys).orderBy(F.col(f"{PLACE}.k{len(keys)}")).rowsBetween(UNBOUNDED, -1)
+    whole = Window.partitionBy(*keys)
     offsets = per_chunk.select(
-        *place,
+        PLACE,
         *[F.sum(f"__c_{n}").over(earlier).alias(f"__off_{n}") for n in sums],
         *[F.last(f"__c_{n}", ignorenulls=True).over(earlier).alias(f"__off_{n}") for n in lasts],
         *[F.sum(f"__t_{n}").over(whole).alias(f"__tot_{n}") for n in totals],
     )
-    joined = rows.join(offsets, place)
+    joined = rows.join(offsets, PLACE)
     zero = F.lit(0)
     return joined.select(
         *df.columns,

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +19,6 @@ from tipoff.operators.ordered import Timeline, block_window, blocks, core_rows,
 
 START, K_FACTOR, HOME_ADVANTAGE = 1500.0, 20.0, 100.0
 CARRY, CARRY_MEAN = 0.75, 1505.0
-TEAM_HISTORY = Timeline(("team_id",))
 
 
 @dataclass(frozen=True)
@@ -64,19 +63,17 @@ class League:
         return a, self.ratings[home], b, self.ratings[guest]
 
 
-GAME = ["league", "season_id", "date", "game_id", "home_team", "guest_team", "pts_home", "pts_guest"]
-
-
 def with_league(games: DataFrame) -> DataFrame:
     return games if "league" in games.columns else games.withColumn("league", F.lit(0).cast("bigint"))
 
 
 def elo(games: DataFrame, carry_over: bool = True, rules: EloRules = EloRules(), seeds: DataFrame | None = None
         ) -> DataFrame:
-    """Ratings before and after every played game, two rows per game.
+    """Ratings before and after every played game, two rows per game, with the league if ``games`` has one.
 
     ``seeds`` (season_id, team_id, rating, optionally league) are end-of-season ratings to start from.
     """
+    named = ["league"] if "league" in games.columns else []
     played = with_league(games).where(F.col("pts_home").isNotNull() & F.col("pts_guest").isNotNull())
     key_type, team_type = played.schema["game_id"].dataType, played.schema["home_team"].dataType
     rows = played.select(
@@ -90,35 +87,43 @@ def elo(games: DataFrame, carry_over: bool = True, rules: EloRules = EloRules(),
             F.col("rating").cast("double").alias("pts_home"), F.lit(None).cast("double").alias("pts_guest")))
     # one group = one league; without carry-over seasons are independent and run in parallel too
     group = ["league"] if carry_over or seeds is not None else ["league", "season_id"]
-    ordered = rows.repartition(*group).sortWithinPartitions(
-        "league", "season_id", "kind", "date", "game_id")
-    out = f"game_id {key_type.simpleString()}, date date, season_id int, team_id {team_type.simpleString()}, " \
+    # a fixed number of partitions, which Spark does not merge by their few bytes: the work is in the walk
+    wide = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartition(wide, *group).sortWithinPartitions("league", "season_id", "kind", "date", "game_id")
+    fields = ["league", "game_id", "date", "season_id", "team_id", "elo_before", "elo_after"]
+    out = f"league long, game_id {key_type.simpleString()}, date date, season_id int, team_id {team_type.simpleString()}, " \
           "elo_before double, elo_after double"
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state, league_id = League(rules, carry_over), None
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, at = League(rules, carry_over), None
         for batch in batches:
-            result = []
-            for row in batch.itertuples(index=False):
-                if row.league != league_id:
-                    state, league_id = League(rules, carry_over), row.league
-                if row.kind == 0:
-                    state.season = row.season_id
-                    state.ratings[row.home_team] = row.pts_home
+            result, kinds = [], dict(zip(batch.schema.names, batch.schema.types))
+            for league, season, kind, date, game, home, guest, pts_home, pts_guest in zip(*(c.to_pylist() for c in batch.columns)):
+                if league != at:
+                    state, at = League(rules, carry_over), league
+                if kind == 0:
+                    state.season = season
+                    state.ratings[home] = pts_home
                     continue
-                a0, a1, b0, b1 = state.play(row.season_id, row.home_team, row.guest_team, row.pts_home, row.pts_guest)
-                result.append((row.game_id, row.date, row.season_id, row.home_team, a0, a1))
-                result.append((row.game_id, row.date, row.season_id, row.guest_team, b0, b1))
-            yield pd.DataFrame(
-                result, columns=["game_id", "date", "season_id", "team_id", "elo_before", "elo_after"])
+                a0, a1, b0, b1 = state.play(season, home, guest, pts_home, pts_guest)
+                result.append((league, game, date, season, home, a0, a1))
+                result.append((league, game, date, season, guest, b0, b1))
+            types = [pa.int64(), kinds["game_id"], pa.date32(), pa.int32(), kinds["home_team"], pa.float64(), pa.float64()]
+            columns = zip(*result) if result else [[]] * len(fields)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=fields)
+
+    return ordered.mapInArrow(walk, out).select(*named, *fields[1:])
+
 
-    return ordered.mapInPandas(walk, out)
+def _rated_by(rated: DataFrame) -> list[str]:
+    """What a rating belongs to: a team, in its league if there are several."""
+    return (["league"] if "league" in rated.columns else []) + ["team_id"]
 
 
 def final_ratings(rated: DataFrame, season: int | None = None) -> DataFrame:
     """Each team's last rating of a season (or of every season)."""
     rows = rated if season is None else rated.where(F.col("season_id") == season)
-    return rows.groupBy("season_id", "team_id").agg(
+    return rows.groupBy("season_id", *_rated_by(rated)).agg(
         F.max_by("elo_after", F.struct("date", "game_id")).alias("rating"))
 
 
@@ -137,8 +142,9 @@ def elo_update(games: DataFrame, rated: DataFrame, rules: EloRules = EloRules())
 
 def elo_change(rated: DataFrame, games_back: int = 7, column: str = "elo_before", size: int = 2048) -> DataFrame:
     """Absolute and relative change of a team's rating over its last games, across seasons."""
-    placed = blocks(with_ordinal(rated, TEAM_HISTORY), games_back, size)
-    then = F.lag(column, games_back).over(block_window(TEAM_HISTORY))
+    line = Timeline(tuple(_rated_by(rated)))
+    placed = blocks(with_ordinal(rated, line), games_back, size)
+    then = F.lag(column, games_back).over(block_window(line))
     out = placed.select("*", then.alias("__then"))
     return core_rows(out).select(
         *rated.columns,
@@ -151,4 +157,5 @@ def current_elo(rated: DataFrame, games_back: int = 7) -> DataFrame:
     changed = elo_change(rated, games_back, "elo_after")
     columns = ["elo_after", f"elo_change_{games_back}_absolute", f"elo_change_{games_back}_relative"]
     last = F.max_by(F.struct(*columns), F.struct("date", "game_id")).alias("__last")
-    return changed.groupBy("team_id").agg(last).select("team_id", "__last.*")
+    by = _rated_by(rated)
+    return changed.groupBy(*by).agg(last).select(*by, "__last.*")

@@ -33,7 +33,8 @@ def upcoming_frame(games: DataFrame, player_box: DataFrame, rated: DataFrame, ro
     frame = views.attach_roles(frame, blocks)
 
     players = form.player_form(written(player_box.join(newest, "season_id", "left_semi"), "player-box"))
-    scenarios = written(lineup.scenario_stats(roster, written(players, "player-form"), top_n), "scenarios")
+    squads = roster.join(teams.select(F.col("team").alias("team_id")).distinct(), "team_id", "left_semi")  # before subsets are made
+    scenarios = written(lineup.scenario_stats(squads, written(players, "player-form"), top_n), "scenarios")
     frame = relational.scenario_pairs(frame, scenarios)
 
     now = ratings.current_elo(rated).withColumnRenamed("elo_after", "elo")

@@ -56,7 +56,7 @@ def f01_selected(spark, sf_dir):
 
 def coming_frame(spark, sf_dir):
     games = fx.season_games(spark, sf_dir)
-    return upcoming.upcoming_frame(games, fx.player_box(spark, sf_dir), ratings.elo(league_games(spark, sf_dir)),
+    return upcoming.upcoming_frame(games, fx.player_box(spark, sf_dir), ratings.elo(league_games(spark, sf_dir).drop("league")),
                                    fx.roster(spark, sf_dir))
 
 

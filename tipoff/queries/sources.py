@@ -83,12 +83,12 @@ def s09(spark, sf_dir):
 
 
 @query("s10_upsert", with_sql("sched", f"""select game_id, date, home_team,
-    case when season_id >= 1999 then {_URL} else 'stored' end as game_url from sched where season_id >= 1997"""))
+    case when season_id >= 1999 then {_URL} else 'stored' end as game_url from sched"""))
 def s10(spark, sf_dir):
-    rows = _schedule(spark, sf_dir).where("season_id >= 1997")
-    stored = rows.where("season_id <= 1999").withColumn("game_url", F.lit("stored"))
-    merged = tables.upserted(stored, rows.where("season_id >= 1999"), ["game_id"])
-    return merged.select("game_id", "date", "home_team", "game_url")
+    rows, path = _schedule(spark, sf_dir), new_path(spark, "schedule")
+    rows.where("season_id <= 1999").withColumn("game_url", F.lit("stored")).write.partitionBy("season_id").parquet(path)
+    tables.upsert_partitions(rows.where("season_id >= 1999"), path, ["game_id"], "season_id")
+    return spark.read.parquet(path).select("game_id", "date", "home_team", "game_url")
 
 
 @query("s11_changed_rows", with_sql("sched", f"""select game_id, {_URL} as game_url from sched

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tipoff.session import written
 
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None, where: Column | None = None,
                order_by: str | None = None, schema: T.StructType | None = None) -> DataFrame:
@@ -92,6 +93,15 @@ def upserted(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFra
     return both.groupBy(*keys).agg(winner).select(*keys, "__row.*").select(*stored.columns)
 
 
+def upsert_partitions(incoming: DataFrame, path: str, keys: list[str], partition: str) -> None:
+    """Upsert into a table partitioned by a column that its keys imply: only the partitions that ``incoming`` has are read and replaced."""
+    spark = incoming.sparkSession
+    stored = spark.read.parquet(path)
+    touched = stored.join(incoming.select(partition).distinct(), partition, "left_semi")
+    merged = written(upserted(touched, incoming, keys), "upsert")  # read before it is overwritten
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+
+
 def changed_rows(landed: DataFrame, stored: DataFrame) -> DataFrame:
     """Landed games that are new, or whose box-score link has appeared since."""
     old = stored.select("game_id", F.col("game_url").alias("__old"))

@@ -1,22 +1,21 @@
 """Win-loss records and schedule changes as streams over micro-batches.
 
-The stored totals are one row per (season, team). A micro-batch is joined to them and extended with the same
-skew-safe running sums as the batch operator, so a team with very many games never lands in one task.
+Games that were seen are kept, one file set for each micro-batch, which a replay overwrites. A micro-batch's new games are put among the
+kept results of their seasons, with the same skew-safe running sums as the batch operator: a game sent again counts once, and a
+game that arrives late gets the record of its own date.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tipoff.functions.scalar import composite_key
 from tipoff.operators.ordered import TEAM_SEASON, running
 from tipoff.operators.views import team_rows
 from tipoff.sources.tables import changed_rows, upserted
 
-TOTALS = "season_id int, team int, wins bigint, losses bigint"
-
-
 class Versions:
     """A small table that is replaced as a whole per micro-batch; a replayed batch rewrites its own version."""
 
@@ -32,31 +31,44 @@ class Versions:
         df.write.mode("overwrite").parquet(f"{self.root}/v{batch}")
 
 
-def records_batch(games: DataFrame, totals: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(records of the batch's games, totals after the batch)."""
+def records_batch(batch: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records of the games that are new, what is new to keep) of a micro-batch; ``seen`` is what was kept before.
+
+    A game that comes unplayed first has its record written then; its result counts from the batch that brings it.
+    """
+    columns = [c for c in seen.columns if c != "game_id"]
+    known = F.col("is_home_win").isNotNull()
+    latest = F.max_by(F.struct(*columns), known.cast("int")).alias("__g")
+    games = batch.groupBy("game_id").agg(latest).select("game_id", "__g.*")
+    new = games.join(seen.select("game_id").distinct(), "game_id", "left_anti")
+    played = games.where(known).join(seen.where(known).select("game_id").distinct(), "game_id", "left_anti")
+    kept = new.where(~known).unionByName(played)
+
+    history = seen.where(known).join(new.select("season_id").distinct(), "season_id", "left_semi")
+    fresh = F.lit(True).alias("__new")
+    told = played.join(new.select("game_id"), "game_id", "left_anti").join(new.select("season_id").distinct(), "season_id", "left_semi")
+    among = new.select("*", fresh).unionByName(history.unionByName(told.select(*history.columns)).select("*", F.lit(False).alias("__new")))
     won, lost = F.col("win").cast("bigint"), (~F.col("win")).cast("bigint")
-    rows = team_rows(games, ["game_id", "date", "season_id"])
-    line = running(rows, TEAM_SEASON, sums={"__w": won, "__l": lost})
-    known = line.join(totals, ["season_id", "team"], "left")
-    zero = F.lit(0)
-    out = known.select(
-        composite_key("game_id", "team").alias("id"), "game_id", "season_id", "team",
-        (F.col("__w") + F.coalesce(F.col("wins"), zero)).alias("wins_before"),
-        (F.col("__l") + F.coalesce(F.col("losses"), zero)).alias("losses_before"))
-    fresh = rows.select("season_id", "team", F.coalesce(won, zero).alias("wins"), F.coalesce(lost, zero).alias("losses"))
-    after = totals.unionByName(fresh).groupBy("season_id", "team").agg(
-        F.sum("wins").alias("wins"), F.sum("losses").alias("losses"))
-    return out, after
+    line = running(team_rows(among, ["game_id", "date", "season_id", "__new"]), TEAM_SEASON, sums={"wins_before": won, "losses_before": lost})
+    return line.where("__new").select(composite_key("game_id", "team").alias("id"), "game_id", "season_id", "team", "wins_before", "losses_before"), kept
+
+
+SEEN = ["game_id", "date", "season_id", "home_team", "guest_team", "is_home_win"]
 
 
 def start_records(games: DataFrame, spark: SparkSession, root: str, **trigger):
     """Write the record rows of every arriving game under ``root/records``; replays overwrite their own batch."""
-    versions = Versions(spark, f"{root}/totals", TOTALS)
+    schema = T.StructType([games.schema[c] for c in SEEN])
 
     def each(batch: DataFrame, number: int) -> None:
-        rows, after = records_batch(batch.dropDuplicates(["game_id"]), versions.before(number))
+        if number:
+            with_batch = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+            seen = spark.read.schema(with_batch).parquet(f"{root}/seen").where(F.col("batch") < number).drop("batch")
+        else:
+            seen = spark.createDataFrame([], schema)
+        rows, kept = records_batch(batch.select(*SEEN), seen)
         rows.write.mode("overwrite").parquet(f"{root}/records/batch={number}")
-        versions.write(after, number)
+        kept.select(*SEEN).write.mode("overwrite").parquet(f"{root}/seen/batch={number}")
 
     return games.writeStream.foreachBatch(each).option("checkpointLocation", f"{root}/checkpoint").trigger(**trigger).start()
 
