@@ -48,8 +48,18 @@ class Similarity:
     share: int
     base: int = 100
 
-    def prefix(self, n: int) -> int:
-        return n + (-self.share * n) // self.base + 1 if n else 0
+    def prefix(self, n: int, shared: int = 1) -> int:
+        """Length of the first columns of a set of ``n`` among which any partner has at least ``shared``, in whatever order."""
+        return n + (-self.share * n) // self.base + shared if n else 0
+
+    @staticmethod
+    def extra(n: int) -> int:
+        """Columns that a set of ``n`` shows partners at least: more for larger sets, which share some by chance."""
+        return max(1, n * 4 // 100)
+
+    def least_common(self, n: str) -> F.Column:
+        """Columns of the first ones that a set of ``n`` has in common with any partner: what its smallest partner shows."""
+        return F.greatest(F.lit(1), F.floor(F.floor(F.expr(f"{n} * {self.share}") / self.base) * 4 / 100))
 
     def reached(self, common: int, n: int, m: int) -> bool:
         return self.base * common >= self.share * (n + m - common)
@@ -108,7 +118,7 @@ def _features(documents: DataFrame, rule: Similarity, levels: bytes) -> DataFram
                 n.append(len(runs))
                 sig.append(xxhash.xxh3_128_digest(runs.tobytes()) if len(runs) else None)
                 mins.extend([(runs * m).min() if m != 1 else runs[0] for m in orders] if len(runs) else [0] * len(ORDERS))
-                first = rule.prefix(len(runs))
+                first = rule.prefix(len(runs), rule.extra(len(runs)))
                 rank = level[(runs & np.uint64(CELLS - 1)).astype(np.int64)]
                 prefix.append(runs[np.argsort(rank, kind="stable")[:first]])
                 lengths.append(first)
@@ -235,22 +245,25 @@ def _first_pairs(classes: DataFrame, grouped: DataFrame, orders: list[int], rule
 def _cross_pairs(features: DataFrame, classes: DataFrame, grouped: DataFrame, documents: DataFrame, rule: Similarity, levels: bytes) -> DataFrame:
     """Pairs of classes of different groups that can still reach the bound.
 
-    First, with columns in the order of the sketch, the classes are found that share one of their first columns with another group; no
-    others can have a partner. Among these, the columns that only one class has are counted exactly. They come first in the order of the second
+    First, with columns in the order of the sketch, the classes are found that have enough of their first columns in common with other
+    groups; no others can have a partner. Among these, the columns that only one class has are counted exactly. They come first in the order of the second
     product and never meet, so it has few entries; its pairs must share a column within the first ones that their two sizes allow,
     and have enough columns that are not theirs alone.
     """
     chosen = features.select("sig", "doc_id", "n", "prefix").join(classes.select("sig", "doc_id"), ["sig", "doc_id"]).dropDuplicates(["sig", "doc_id"])
     group = broadcast_if_small(grouped.withColumnRenamed("node", "doc_id"), 32)
     chosen = written(chosen.join(group, "doc_id", "left").select("doc_id", "n", F.coalesce("label", "doc_id").alias("g"), "prefix"), "chosen")
-    near = written(_between_groups(chosen.select("doc_id", "n", "g", F.explode("prefix").alias("column"))).select("doc_id", "n", "g").distinct(), "near")
+    near = _between_groups(chosen.select("doc_id", "n", "g", F.explode("prefix").alias("column"))).groupBy("doc_id", "n", "g").agg(F.count("*").alias("common"))
+    near = written(near.where(F.col("common") >= rule.least_common("n")).drop("common"), "near")
     asked = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     tokens = asked.join(broadcast_if_small(near.select("doc_id").distinct(), 16), "doc_id").mapInArrow(_columns_of(rule), "doc_id long, column long")
     # a class with several texts of one doc_id counts as one
     alone = tokens.groupBy("column").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).where("doc_id = last")
     alone = alone.groupBy("doc_id").agg(F.collect_list("column").alias("alone"))
-    kept = written(near.join(alone, "doc_id", "left").select("doc_id", "n", "g", F.coalesce("alone", F.array().cast("array<long>")).alias("alone")), "alone")
-    placed = asked.join(broadcast_if_small(kept, 600), "doc_id").select("doc_id", "n", "g", "alone", "text")
+    kept = near.join(alone, "doc_id", "left").select("doc_id", "n", "g", F.coalesce("alone", F.array().cast("array<long>")).alias("alone"))
+    kept = written(kept.where((F.col("n") - F.size("alone")) * rule.base >= F.col("n") * rule.share), "alone")
+    rows, columns = kept.agg(F.count("*"), F.coalesce(F.sum(F.size("alone")), F.lit(0))).first()
+    placed = asked.join(broadcast_if_small(kept, 64, rows + columns // 8), "doc_id").select("doc_id", "n", "g", "alone", "text")
     sent = documents.sparkSession.sparkContext.broadcast(levels)
     entries = placed.mapInArrow(_first_shared(rule, sent), "doc_id long, n long, g long, shared long, place long, column long")
     live = written(_between_groups(entries), "entries")
