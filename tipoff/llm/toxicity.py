@@ -22,8 +22,9 @@ from tipoff.llm.frames import raw_texts
 from tipoff.session import written
 
 #: Labelled documents that the models are trained on, features that each model keeps, folds.
-SAMPLE_ROWS, FEATURES, FOLDS = 20_000, 4096, 5
-PENALTY = 0.5
+SAMPLE_ROWS, FEATURES, FOLDS = 20_000, 512, 5
+#: Chi-square (of one degree of freedom) from which a feature is kept; penalty on squared weights.
+LEAST_CHI2, PENALTY = 15.0, 0.5
 
 
 @dataclass
@@ -98,15 +99,17 @@ def _fit(rows: np.ndarray, columns: np.ndarray, size: int, dense: np.ndarray, y:
     scale_c = 1 / (0.25 * (dense ** 2 * np.sqrt(per_row + 1)[:, None]).sum(0) + PENALTY)
     scale_b = 1 / (0.25 * np.sqrt(per_row + 1).sum())
     state = (w, c, b)
-    for step in range(150):
+    for step in range(100):
         pull = step / (step + 3)
         look = [now + pull * (now - old) for now, old in zip((w, c, b), state)]
-        state = (w, c, b)
+        state, before = (w, c, b), w
         z = np.bincount(rows, weights=look[0][columns], minlength=n) + dense @ look[1] + look[2]
         r = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
         w = look[0] - scale_w * (np.bincount(columns, weights=r[rows], minlength=width) + PENALTY * look[0])
         c = look[1] - scale_c * (dense.T @ r + PENALTY * look[1])
         b = look[2] - scale_b * r.sum()
+        if step > 20 and np.abs(w - before).max(initial=0) < 1e-3 and abs(b - state[2]) < 1e-3:
+            break
     return w, c, float(b)
 
 
@@ -118,7 +121,7 @@ def _chosen(counts: np.ndarray, positive: np.ndarray, n: int, n_positive: int, k
     score = (positive - expected) ** 2 / np.maximum(expected * (1 - n_positive / n), 1e-9)
     score[counts < 2] = 0
     order = np.argsort(-score, kind="stable")[:keep]
-    return np.sort(order[score[order] > 4])
+    return np.sort(order[score[order] > LEAST_CHI2])
 
 
 def fit_chain(documents: DataFrame, labels: DataFrame, categories: dict[str, str], sample_rows: int = SAMPLE_ROWS,
