@@ -19,10 +19,11 @@ def broadcast_if_small(df: DataFrame, bytes_per_row: int, rows: int | None = Non
     return F.broadcast(df) if rows * bytes_per_row <= BROADCAST_BYTES else df
 
 
-def raw_texts(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
-    """A string column as UTF-8 bytes, without decoding."""
+def raw_texts(column: pa.ChunkedArray | pa.Array, rows: int = 128) -> Iterator[bytes | None]:
+    """A string column as UTF-8 bytes, without decoding; ``rows`` of them at a time are held beside the batch."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
-    return column.cast(kind).to_pylist()
+    for at in range(0, len(column), rows):
+        yield from column.slice(at, rows).cast(kind).to_pylist()
 
 
 def in_batches(rows: Iterable[tuple], schema: pa.Schema, max_rows: int = 4096, max_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:

@@ -80,9 +80,10 @@ def _sketch(documents: DataFrame, rule: Similarity) -> bytes:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, cells = WordHashes(), np.zeros(CELLS, np.int64)
         for batch in batches:
-            held = [distinct_runs(hashes.of(_words(t)), rule.words) for t in raw_texts(batch.column(0))]
-            if held:
-                cells += np.bincount((np.concatenate(held) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+            for text in raw_texts(batch.column(0)):
+                # a set may have several columns of one cell: they are counted one by one
+                runs = distinct_runs(hashes.of(_words(text)), rule.words)
+                np.add.at(cells, (runs & np.uint64(CELLS - 1)).astype(np.int64), 1)
         parts = cells.reshape(-1, CELL_BLOCK)
         yield from in_batches(((k, p.astype("<i4" if p.max() < 1 << 31 else "<i8").tobytes()) for k, p in enumerate(parts) if p.any()), schema)
 

@@ -132,6 +132,7 @@ def pack(documents: DataFrame, vocabulary: str, end_id: int = 0, capacity: int =
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from in_batches(rows(batches), _ARROW)
+        encoder(vocabulary, True).forget()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         ids_of = encoder(vocabulary, True)

@@ -35,6 +35,10 @@ class Encoder:
         for token, number in vocabulary.items():
             self.bytes_of[number] = len(token.removesuffix(_WORD_END))
 
+    def forget(self) -> None:
+        """Frees what was kept, at the end of a task: the worker may next do something else."""
+        self.known.clear()
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
