@@ -1,10 +1,12 @@
 import random
+import textwrap
 from collections import Counter
 from math import sqrt
 
 
 from tipoff.llm.decontaminate import words
-from tipoff.llm.licenses import LEAST, TEMPLATES, build_index, scan
+from tipoff.llm.licence_texts import FULL_TEXTS
+from tipoff.llm.licenses import LEAST, TEMPLATES, build_index, build_runs, scan
 
 LICENCE_FILE = "path rlike '(^|/)LICENSE[^/]*$'"
 
@@ -51,3 +53,49 @@ def test_own_and_nearest_ancestor(spark):
     assert by[9].license == "MIT" and by[10].license == "MIT" and by[11].license is None
     assert {r.license for r in out if r.doc_id == 12} == {"MIT"} and by[None].license == "Apache-2.0" and by[13].license == by[14].license == "MIT"
     assert scan(files.where("false"), LICENCE_FILE, ["doc_id"]).count() == 0
+
+
+CODE = "".join(f"def step_{k}(x, y):\n    total = x * {k} + y  # adds part {k}\n    return total\n\n" for k in range(400))
+
+
+def commented(text, mark, width):
+    return "".join(f"{mark} {line}".rstrip() + "\n" for line in textwrap.wrap(text, width))
+
+
+def test_wrapped_headers_and_full_texts(spark):
+    gpl3, apache = TEMPLATES["GPL-3.0"][1], TEMPLATES["Apache-2.0"][1]
+    years = "Copyright (c) 2021 Some Body. All rights reserved. "
+    want = {name: name for name in FULL_TEXTS}  # complete licence files, under a copyright line of their own
+    texts = {name: f"{years}\n\n{text}" for name, text in FULL_TEXTS.items()}
+    for name, licence, text in [
+        ("gpl3 header", "GPL-3.0", commented("This file is part of Foo. " + gpl3, "#", 72) + CODE),
+        ("apache header", "Apache-2.0", "/*\n" + commented(years + apache, " *", 60) + " */\n" + CODE),
+        ("short wrapped", "Apache-2.0", "// Licensed under the Apache License,\n// Version 2.0.\n" + CODE),
+        ("lgpl header", "LGPL-2.1", commented(TEMPLATES["LGPL-2.1"][0], "//", 50) + CODE),
+        ("bsd3 above code", "BSD-3-Clause", commented(years + FULL_TEXTS["BSD-3-Clause"], "#", 72) + CODE),
+        ("bsd2 below code", "BSD-2-Clause", CODE + commented(FULL_TEXTS["BSD-2-Clause"].replace("HOLDERS", "OWNERS"), "//", 40)),
+        ("mit above code", "MIT", commented(years + FULL_TEXTS["MIT"], "--", 72) + CODE),
+        ("code", None, CODE), ("talk", None, "The licence of a song is not the song.\nThe MIT is a school and the GPL is a text.\n" + CODE),
+    ]:
+        want[name], texts[name] = licence, text
+    rows = [(name, f"{k}/{name}", text) for k, (name, text) in enumerate(texts.items())] + [(f"n{k}", f"n/{k}", CODE[:2000] + " the of and to in") for k in range(300)]
+    rows += [("mit dir", "m/LICENSE", f"MIT License\n\n{years}\n\n{FULL_TEXTS['MIT']}"), ("below", "m/a/b.py", CODE)]
+    out = {r.doc_id: r for r in scan(spark.createDataFrame(rows, "doc_id string, path string, text string"), LICENCE_FILE, ["doc_id"]).collect()}
+    assert len(out) == len(rows)
+    assert {name: out[name].stated for name in want} == want
+    assert out["below"].license == "MIT" and out["below"].from_directory == "m" and not any(out[f"n{k}"].license for k in range(300))
+
+
+def test_runs_equal_plain_cosines():
+    rng = random.Random(3)
+    runs = build_runs({b"the": 900, b"of": 800, b"license": 5}, 1000)
+    vocabulary = [w.decode() for w in runs.at] + ["other"]
+    for name, text in [(n, t) for n, ts in TEMPLATES.items() for t in ts]:
+        noise = lambda: " ".join(rng.choices(vocabulary, k=rng.choice([0, 5, 60])))
+        ids = runs.numbers(words(f"{noise()} {text} {text} {noise()}".encode()))
+        for t in runs.possible(ids):
+            size = min(runs.sizes[t], len(ids))
+            every = [runs.cosine(t, ids[k:k + size]) for k in range(len(ids) - size + 1)]
+            found = runs.nearest(t, ids)
+            assert (found is None) == (max(every) < runs.least[t])
+            assert found is None or abs(found[0] - max(every)) < 1e-9 and found[1] == next(k for k, c in enumerate(every) if c >= max(every) - 1e-9)
