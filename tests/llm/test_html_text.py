@@ -41,3 +41,32 @@ def test_extract_keeps_every_row(spark):
     text = CASES[4][1]
     assert out == sorted([(1, "u", text, len(text))] * 2 + [(None, None, "", 0), (2, "v", "", 0)], key=str)
     assert extract(pages.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("wrapper", [
+    "div class='page has-sidebar'", "div class='container no-sidebar'", "div class='sticky-header'", "div class=withNavbar", "div id='search-results'",
+    "form action='./page.aspx' id='aspnetForm'", "section class='sidebar-left layout'", "div class='wrap sticky-footer'", "div class='menu'"])
+@pytest.mark.parametrize("mark", ["article", "main"])
+def test_wrappers_of_an_article_are_no_regions(wrapper, mark):
+    end = f"</{wrapper.split()[0]}>"
+    beside = f"<div class='sidebar'><p>{LONG}</p></div><div id='comments'><article><p>{LONG}</p></article></div><nav>{LONG}</nav>"
+    assert main_text(f"<body><{wrapper}><{mark}><h1>Head</h1><p>{LONG}</p><p>{LONG}</p></{mark}>{beside}{end}</body>") == f"Head\n{LONG}\n{LONG}"
+    assert main_text(f"<main><{wrapper}><article><p>{LONG}</p><p>{LONG}</p></article>{end}</main>") == f"{LONG}\n{LONG}"
+    # without marks only a name of which a region word is a part, or a form, can wrap a page
+    kept = "" if "menu" in wrapper else f"{LONG}\n{LONG}"
+    assert main_text(f"<body><{wrapper}><div><p>{LONG}</p><p>{LONG}</p></div>{end}</body>") == kept
+
+
+@pytest.mark.parametrize("region", [
+    "div class='comment-list'", "div id=comments", "section class='related-posts'", "div class='site-footer'", "div class='cookie-banner'", "aside", "div hidden",
+    "div style='display:none'"])
+def test_regions_beside_the_article_stay_apart(region):
+    end = f"</{region.split()[0]}>"
+    text = f"<p>{LONG}</p>"
+    for inner in (text * 5, f"<article>{text * 5}</article>"):
+        assert main_text(f"<div class=post>{text}</div><{region}>{inner}{end}") == LONG
+        assert main_text(f"<article>{text}</article><{region}>{inner}{end}") == LONG
+        assert main_text(f"<main>{text}<{region}>{inner}{end}</main>") == LONG
+    assert main_text(f"<article>{text}<div class='share-links'>{text * 3}</div></article><form>{text}</form>") == LONG
+    for odd in ("<div class=ad>" * 20_000 + LONG, "<div class='a-menu'>" * 20_000 + LONG, "<form>" * 20_000 + "<main>" + LONG):
+        assert isinstance(main_text(odd), str)

@@ -3,7 +3,7 @@
 A page is cut into blocks at block-level tags. The first pass takes each block by itself: blocks of a region that is not the article (by
 tag, role or class) and link lists are boilerplate; long blocks with stop words are text; short blocks stay open. The
 second pass lets an open block follow the nearest decided blocks on both sides. Where a page marks its article, only blocks inside
-it can be text.
+it can be text. Classes and forms that wrap the article or most of a page's text are no regions.
 """
 
 from __future__ import annotations
@@ -41,6 +41,16 @@ navigation newsletter notice notices notification outbrain overlay pager paginat
 reply respond search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription taboola tags teaser toolbar
 tracking warning widget widgets""".split())
 
+# Region words of what stands beside an article, however long; and words before which (or beside which) a
+# region word tells something of the page or of a position instead of naming a region.
+FIRM = frozenset("""ad ads adv advert advertisement advertising advertorial comment comments commentlist consent cookie cookies copyright disqus footer
+footers outbrain paywall promo promos promotion recommended related reply respond sponsor sponsored taboola teaser""".split())
+STATES = frozenset("has have hide hides no not show shows with without".split())
+PLACES = frozenset("fixed sticky".split())
+
+#: A wrapper holds more than this share of the page's stop words.
+WRAPS = 0.5
+
 #: First pass: the share of a block's characters in links from which it is a link list, the length from which a
 #: block decides for itself, and the least share of stop words of a text block (of a marked article, and without one).
 MOST_LINKS = 0.5
@@ -55,6 +65,18 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _WORD = re.compile(r"\w+")
 
 
+@dataclass
+class Region:
+    """An element that is not the article by its names, or a form, unless it turns out to wrap the article."""
+
+    around: Region | None
+    kind: str  # 'firm', 'whole' (a region word as a whole name), 'part' (of a name) or 'form'
+    marked: bool  # inside a marked article
+    holds: set[str] = field(default_factory=set)  # marked elements in it
+    weight: int = 0
+    apart: bool = True
+
+
 @dataclass
 class Block:
     text: str
@@ -62,6 +84,7 @@ class Block:
     apart: bool
     marked: bool
     heading: bool
+    region: Region | None = None
 
 
 @dataclass
@@ -69,8 +92,9 @@ class _Open:
     """An element that is not closed yet."""
 
     name: str
-    apart: bool
+    apart: bool  # for good
     marked: bool
+    region: Region | None = None
 
 
 @dataclass
@@ -82,12 +106,13 @@ class _Page:
     links: int = 0
     breaks: int = 0
     heading: bool = False
+    regions: list[Region] = field(default_factory=list)
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
             top = self.stack[-1] if self.stack else _Open("", False, False)
-            self.blocks.append(Block(text, self.linked, top.apart, top.marked, self.heading))
+            self.blocks.append(Block(text, self.linked, top.apart, top.marked, self.heading, top.region))
         self.parts, self.linked, self.breaks = [], 0, 0
 
     def text(self, raw: str) -> None:
@@ -115,8 +140,15 @@ class _Page:
         if name == "p" or name == "li":  # they end an open one of their kind
             self._close_open(name)
         top = self.stack[-1] if self.stack else _Open("", False, False)
-        apart = top.apart or name in APART or (name == "header" and not top.marked) or _names_region(attributes, name, top.marked)
-        self.stack.append(_Open(name, apart, top.marked or name in MARKED))
+        kind = _region_kind(attributes, name, top.marked)
+        apart = top.apart or kind == "hidden" or name in APART and name not in ("form", "header") or (name == "header" and not top.marked)
+        kind, region = kind or ("form" if name == "form" else None), top.region
+        if kind and not apart:
+            region = Region(top.region, kind, top.marked)
+            self.regions.append(region)
+        if name in MARKED and region and not apart:
+            region.holds.add(name)
+        self.stack.append(_Open(name, apart, top.marked or name in MARKED, region))
 
     def _close_open(self, name: str) -> None:
         for k in range(len(self.stack) - 1, -1, -1):
@@ -140,21 +172,70 @@ class _Page:
                 return  # a stray inline end tag closes nothing outside its block
 
 
-def _names_region(attributes: str, name: str, marked: bool) -> bool:
-    """Whether class, id or role name a region that is not the article, or the element is hidden. An article has headers of its own."""
+def _region_kind(attributes: str, name: str, marked: bool) -> str | None:
+    """How class, id or role name a region that is not the article, or 'hidden'. An article has headers of its own."""
     regions = REGIONS - {"header", "headers"} if marked else REGIONS
     if not attributes.strip() or name in ("html", "body"):
-        return False
+        return None
+    found = set()
     for m in _NAMES.finditer(attributes):
         kind, value = m[1].lower(), (m[2] or "").strip("\"'")
         if kind == "hidden" or kind == "aria-hidden" and value == "true":
-            return True
+            return "hidden"
         if kind == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
-        elif name not in MARKED and any(p.lower() in regions for p in _PARTS.findall(value)):
-            return True
-    return False
+                return "hidden"
+        elif name not in MARKED:
+            for one in value.split():
+                parts = [p.lower() for p in _PARTS.findall(one)]
+                named = regions.intersection(parts)
+                if not named or parts[0] in STATES:
+                    continue
+                placed = not PLACES.isdisjoint(parts)
+                found.add("part" if placed else "firm" if named & FIRM else "whole" if regions.issuperset(parts) else "part")
+    return next((k for k in ("firm", "whole", "part") if k in found), None)
+
+
+def _stop_words(text: str) -> int:
+    return sum(w in STOP_WORDS for w in _WORD.findall(text.lower()))
+
+
+def _settle(page: _Page) -> None:
+    """Decides which regions are apart, and with them their blocks.
+
+    A region that holds a main element wraps the page. Of the others, those beside an article by their names (``FIRM``) stay apart. One that holds most
+    stop words of the rest of the page is a wrapper if it also holds an article element, or if it is a form or has a region word only as a part of a name.
+    """
+    for region in reversed(page.regions):
+        if region.around:
+            region.around.holds |= region.holds
+    firm: set[int] = set()
+    for region in page.regions:
+        if region.around and id(region.around) in firm or region.kind == "firm" and "main" not in region.holds:
+            firm.add(id(region))
+    open_to_weight = [r for r in page.regions if id(r) not in firm and "main" not in r.holds and _may_wrap(r)]
+    total = 0
+    if open_to_weight:
+        counted = [b for b in page.blocks if not b.apart and (b.region is None or id(b.region) not in firm)]
+        weights = [_stop_words(b.text) for b in counted]
+        if not any(weights):
+            weights = [len(b.text) for b in counted]
+        total = sum(weights)
+        for block, weight in zip(counted, weights):
+            if block.region:
+                block.region.weight += weight
+        for region in reversed(page.regions):
+            if region.around:
+                region.around.weight += region.weight
+    wrappers = {id(r) for r in open_to_weight if r.weight > WRAPS * total}
+    for region in page.regions:
+        region.apart = "main" not in region.holds and id(region) not in wrappers or region.around is not None and region.around.apart
+    for block in page.blocks:
+        block.apart = block.apart or block.region is not None and block.region.apart
+
+
+def _may_wrap(region: Region) -> bool:
+    return "article" in region.holds or region.kind in ("part", "form") and not region.marked
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -181,6 +262,7 @@ def blocks_of(page: str) -> list[Block]:
             break
     state.text(page[at:])
     state.flush()
+    _settle(state)
     return state.blocks
 
 
