@@ -70,3 +70,20 @@ def test_regions_beside_the_article_stay_apart(region):
     assert main_text(f"<article>{text}<div class='share-links'>{text * 3}</div></article><form>{text}</form>") == LONG
     for odd in ("<div class=ad>" * 20_000 + LONG, "<div class='a-menu'>" * 20_000 + LONG, "<form>" * 20_000 + "<main>" + LONG):
         assert isinstance(main_text(odd), str)
+
+
+FOREIGN = [
+    "Il governo italiano approva oggi una nuova legge che cambia molte regole per imprese e lavoratori della regione, dopo mesi di discussioni.",
+    "Правительство одобрило вчера новый закон, который меняет правила для предприятий и работников этой области, после долгих споров в парламенте.",
+    "政府昨天批准了一项新的法律，这项法律改变了该地区企业和工人的许多规则，经过数月的讨论之后，议会以多数票通过了这一方案，新的规定将从明年一月起开始实施，并由各个地方的主管部门负责监督执行。",
+]
+
+
+@pytest.mark.parametrize("text", FOREIGN)
+def test_other_languages_without_marks(text):
+    head, short = text[:12].strip(), text[:20].strip()
+    links = "".join(f"<li><a href=x>{text[:40]}</a>" for _ in range(5))
+    page = f"<nav>{text}</nav><ul>{links}</ul><div><h2>{head}</h2><p>{text}</p><p>{short}</p><p>{text}</p></div><div><a href=x>{text}</a></div><footer>{text}</footer>"
+    assert main_text(page) == f"{head}\n{text}\n{short}\n{text}"
+    # beside text of a known language it stays a list of names
+    assert main_text(f"<div><p>{LONG}</p></div><div>{text}</div>") == LONG

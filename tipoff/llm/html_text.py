@@ -56,6 +56,8 @@ WRAPS = 0.5
 MOST_LINKS = 0.5
 LONG = 70
 STOPS_MARKED, STOPS = 0.02, 0.12
+#: On a page without a long block of this share the language is unknown: long blocks with at most this share in links are text.
+STOPS_KNOWN, FEW_LINKS = 0.2, 0.2
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -266,8 +268,13 @@ def blocks_of(page: str) -> list[Block]:
     return state.blocks
 
 
-def _first_pass(block: Block, only_marked: bool) -> bool | None:
-    """True: text; False: boilerplate; None: open."""
+def _stop_share(text: str) -> float:
+    found = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in found) / len(found) if found else 0.0
+
+
+def _first_pass(block: Block, only_marked: bool, unknown: bool = False) -> bool | None:
+    """True: text; False: boilerplate; None: open. ``unknown``: the stop words are not those of the page's language."""
     if block.apart or only_marked and not block.marked:
         return False
     size = len(block.text)
@@ -275,11 +282,17 @@ def _first_pass(block: Block, only_marked: bool) -> bool | None:
         return False
     if block.heading or size < LONG:
         return None
-    found = _WORD.findall(block.text.lower())
-    stops = sum(w in STOP_WORDS for w in found) / len(found) if found else 0.0
-    if stops >= (STOPS_MARKED if block.marked else STOPS):
+    if _stop_share(block.text) >= (STOPS_MARKED if block.marked else STOPS):
+        return True
+    if unknown and block.linked <= FEW_LINKS * size:
         return True
-    return None if block.marked else False
+    return None if block.marked or unknown else False
+
+
+def _unknown_language(blocks: list[Block], first: list[bool | None]) -> bool:
+    """Whether a page without a marked article has long, link-poor blocks that lack stop words, and none that has many."""
+    own = [b for b in blocks if not b.apart and not b.heading and len(b.text) >= LONG and b.linked <= MOST_LINKS * len(b.text)]
+    return any(state is False and not b.apart and not b.heading for b, state in zip(blocks, first)) and all(_stop_share(b.text) < STOPS_KNOWN for b in own)
 
 
 def main_text(page: str | None) -> str:
@@ -287,6 +300,8 @@ def main_text(page: str | None) -> str:
     blocks = blocks_of(page or "")
     only_marked = any(b.marked and not b.apart for b in blocks)
     first = [_first_pass(b, only_marked) for b in blocks]
+    if not only_marked and _unknown_language(blocks, first):
+        first = [_first_pass(b, only_marked, unknown=True) for b in blocks]
     # in a marked article, other regions inside it say nothing about the blocks beside them
     decided = [None if only_marked and (b.apart or not b.marked) else state for b, state in zip(blocks, first)]
     before: list[bool | None] = []
