@@ -58,12 +58,15 @@ def require_rows(joined: DataFrame, expected: DataFrame, key: str, message: str)
     return joined
 
 
-def scenario_pairs(games: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """Every upcoming game with every home scenario and every guest scenario (bounded by the scenarios)."""
+def scenario_pairs(games: DataFrame, scenarios: DataFrame, how: str = "inner") -> DataFrame:
+    """Every upcoming game with every home scenario and every guest scenario (bounded by the scenarios).
+
+    With ``how`` "left", a team without scenarios has one, of NULL columns.
+    """
     out = games
     for side in ("home", "guest"):
         named = scenarios.select(
             F.col("team_id").alias(f"{side}_team"),
             *[F.col(c).alias(f"{c}_{side}") for c in scenarios.columns if c != "team_id"])
-        out = out.join(named, f"{side}_team")
+        out = out.join(named, f"{side}_team", how)
     return out

@@ -18,7 +18,8 @@ def upcoming_frame(games: DataFrame, player_box: DataFrame, rated: DataFrame, ro
                    predicted: DataFrame | None = None, top_n: int = 10) -> DataFrame:
     """One row per upcoming game, home scenario and guest scenario; empty when there is nothing to predict.
 
-    Form comes from the newest season; line-up strength from each rostered player's latest form in it.
+    Form comes from the newest season; line-up strength from each rostered player's latest form in it. A team without a roster, or without a rostered
+    player who has a form, has one scenario of NULL columns; a team without a rating has the starting one and NULL changes.
     """
     newest = F.broadcast(games.agg(F.max("season_id").alias("season_id")))  # one row
     season = written(games.join(newest, "season_id", "left_semi"), "season")
@@ -35,13 +36,14 @@ def upcoming_frame(games: DataFrame, player_box: DataFrame, rated: DataFrame, ro
     players = form.player_form(written(player_box.join(newest, "season_id", "left_semi"), "player-box"))
     squads = roster.join(teams.select(F.col("team").alias("team_id")).distinct(), "team_id", "left_semi")  # before subsets are made
     scenarios = written(lineup.scenario_stats(squads, written(players, "player-form"), top_n), "scenarios")
-    frame = relational.scenario_pairs(frame, scenarios)
+    frame = relational.scenario_pairs(frame, scenarios, "left")
 
     now = ratings.current_elo(rated).withColumnRenamed("elo_after", "elo")
     for side in ("home", "guest"):
         named = now.select(F.col("team_id").alias(f"{side}_team"),
                            *[F.col(c).alias(f"{c}_{side}") for c in now.columns if c != "team_id"])
-        frame = frame.join(named, f"{side}_team")
+        frame = frame.join(named, f"{side}_team", "left").withColumn(
+            f"elo_{side}", F.coalesce(f"elo_{side}", F.lit(ratings.START)))
     return frame
 
 
