@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -156,8 +154,9 @@ def m24(spark, sf_dir):
 
 @query("m26_walk_forward")
 def m26(spark, sf_dir):
-    windows = backtest.months(datetime.date(2000, 11, 1), 3)
-    scored = backtest.walk_forward(narrow_frame(spark, sf_dir), FEATURES, ["logistic", "gaussian_bayes"], windows)
+    """All months that have earlier games."""
+    frame = narrow_frame(spark, sf_dir)
+    scored = backtest.walk_forward(frame, FEATURES, ["logistic", "gaussian_bayes"], backtest.months_with_history(frame))
     return rounded(metrics.compare_models(written(scored.drop("month"), "backtest"), "is_home_win"))
 
 
