@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tipoff.functions.scalar import ratio
-from tipoff.operators.ordered import UNBOUNDED, Timeline, running
+from tipoff.operators.ordered import UNBOUNDED, cumulative
 
 TINY = 2.220446049250313e-16  # probabilities are kept this far from 0 and 1 in the log loss
 
@@ -111,17 +111,12 @@ def class_report(df: DataFrame, label: str, proba: str, threshold: float = 0.5)
 # Rank metrics: exact, without sorting the table in one task
 # ---------------------------------------------------------------------------
 
-_BUCKETS = 4096
-
-
 def _by_probability(df: DataFrame, label: str, proba: str, by: list[str]) -> DataFrame:
     """Counts per distinct probability with the counts below it; ties collapse before anything is ordered."""
     counted = df.where(F.col(label).isNotNull() & F.col(proba).isNotNull()).groupBy(*by, F.col(proba).alias("__p")).agg(
         F.count_if(label).alias("pos"), F.count_if(~F.col(label)).alias("neg"))
-    bucketed = counted.select("*", F.floor(F.col("__p") * _BUCKETS).alias("__bucket"))
-    line = Timeline(tuple(by), chunk="__bucket", order=("__p",))
-    return running(bucketed, line, sums={"pos_below": F.col("pos"), "neg_below": F.col("neg")},
-                   totals={"pos_all": F.col("pos"), "neg_all": F.col("neg")})
+    return cumulative(counted, ("__p",), sums={"pos_below": F.col("pos"), "neg_below": F.col("neg")},
+                      totals={"pos_all": F.col("pos"), "neg_all": F.col("neg")}, by=tuple(by))
 
 
 def roc_auc(df: DataFrame, label: str, proba: str, by: list[str] = ()) -> DataFrame:

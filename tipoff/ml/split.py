@@ -1,5 +1,5 @@
-"""Time-ordered splits, folds and sample weights. Positions come from ``ordered.running``, so no single
-task sorts the whole table."""
+"""Time-ordered splits, folds and sample weights. Positions come from ``ordered.numbered``: no task sorts the whole
+table, nor all the games of one date."""
 
 from __future__ import annotations
 
@@ -7,14 +7,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tipoff.operators.ordered import ALL_GAMES, ORDINAL, TOTAL, Timeline, running, with_ordinal
+from tipoff.operators.ordered import ORDINAL, TOTAL, numbered
 
 HELPERS = (ORDINAL, TOTAL)
 
 
 def _placed(df: DataFrame) -> DataFrame:
     """0-based place in (date, game_id) order and the number of rows."""
-    return with_ordinal(df, ALL_GAMES)
+    return numbered(df, ("date", "game_id"))
 
 
 def train_test(df: DataFrame, cutoff: str, train_size: float = 0.85) -> DataFrame:
@@ -54,7 +54,7 @@ def test_fold(df: DataFrame, folds: int = 5) -> DataFrame:
 
 
 # Multiplicative hashing (Knuth): fixed values
-_HASH_FACTOR, _HASH_RANGE, _HASH_CHUNK = 2654435761, 2**32, 2**20
+_HASH_FACTOR, _HASH_RANGE = 2654435761, 2**32
 
 
 def shuffle_key(df: DataFrame, key: str, seed: int = 0) -> Column:
@@ -70,10 +70,7 @@ def shuffle_key(df: DataFrame, key: str, seed: int = 0) -> Column:
 
 def stratified_folds(df: DataFrame, label: str, key: str = "game_id", folds: int = 5, seed: int = 0) -> DataFrame:
     """Shuffled folds with the same share of each label: place within the label in hash order, modulo folds."""
-    hashed = df.select("*", shuffle_key(df, key, seed).alias("__h")).select(
-        "*", F.floor(F.col("__h") / _HASH_CHUNK).alias("__chunk"))
-    line = Timeline((label,), chunk="__chunk", order=("__h", key))
-    rows = running(hashed, line, sums={ORDINAL: F.lit(1)})
+    rows = numbered(df.withColumn("__h", shuffle_key(df, key, seed)), ("__h", key), by=(label,))
     return rows.select(*df.columns, (F.col(ORDINAL) % folds).alias("fold"))
 
 

@@ -10,7 +10,11 @@ once a few teams hold most of the rows. Two building blocks replace it:
              block is preceded by copies of the rows it looks back to (its halo). Every window task then
              holds at most ``size + halo`` rows, whatever the size of the entity.
 
-Both are exact. Entities smaller than a block are not copied at all.
+``numbered`` and ``cumulative``  places and running sums in one order over the whole table. The rows are dealt out by ranges of the
+             order, whose split points come from the data; each range is numbered on its own, and what the ranges before it hold
+             is added. One date with most of the rows is spread over many ranges.
+
+All are exact. Entities smaller than a block are not copied at all.
 """
 
 from __future__ import annotations
@@ -21,8 +25,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tipoff.session import written
+
 UNBOUNDED = Window.unboundedPreceding
 ORDINAL, TOTAL, BLOCK, HOME, PLACE = "ordinal", "entity_rows", "__block", "__home", "__place"
+RANGE, TIE, _IN_RANGE = "__range", "__tie", (1 << 33) - 1
 
 
 @dataclass(frozen=True)
@@ -39,7 +46,6 @@ class Timeline:
 
 TEAM_SEASON = Timeline(("season_id", "team"))
 PLAYER_SEASON = Timeline(("season_id", "player_id"))
-ALL_GAMES = Timeline(())
 
 
 def running(
@@ -100,6 +106,54 @@ def with_ordinal(df: DataFrame, line: Timeline, **sums: Column) -> DataFrame:
     return running(df, line, sums={ORDINAL: one, **sums}, totals={TOTAL: one})
 
 
+def ranged(df: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """The rows dealt out by ranges of ``order`` and sorted in each, with the range and the 0-based place in it, as a written table.
+
+    Rows that are equal in all of ``order`` go on in the order in which they were read, and may be split between ranges.
+    """
+    dealt = df.withColumn(TIE, F.monotonically_increasing_id()).repartitionByRange(*order, TIE).sortWithinPartitions(*order, TIE)
+    return written(dealt.drop(TIE).select(
+        "*", F.spark_partition_id().alias(RANGE), F.monotonically_increasing_id().bitwiseAND(F.lit(_IN_RANGE)).alias(PLACE)), "ranges")
+
+
+def numbered(df: DataFrame, order: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """Add the 0-based position of every row in ``order`` among the rows with the same ``by``, and the number of those rows.
+
+    NULL comes first, and is a value like others in ``by``. Nothing larger than a range is in one task.
+    """
+    rows = ranged(df, (*by, *order))
+    sizes = rows.groupBy(RANGE).agg(F.count(F.lit(1)).alias("__n"))  # a row for each range
+    before = F.coalesce(F.sum("__n").over(Window.orderBy(RANGE).rowsBetween(UNBOUNDED, -1)), F.lit(0))
+    starts = sizes.select(RANGE, before.alias("__start"), F.sum("__n").over(Window.partitionBy()).alias("__all"))
+    placed = rows.join(F.broadcast(starts), RANGE).withColumn("__at", F.col("__start") + F.col(PLACE))
+    if not by:
+        return placed.select(*df.columns, F.col("__at").alias(ORDINAL), F.col("__all").alias(TOTAL))
+    # the groups lie one after another, so a place in the group is the distance to the group's first row
+    groups = placed.groupBy(F.struct(*by).alias("__by")).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias(TOTAL))
+    return placed.withColumn("__by", F.struct(*by)).join(groups, "__by").select(
+        *df.columns, (F.col("__at") - F.col("__first")).alias(ORDINAL), TOTAL)
+
+
+def cumulative(df: DataFrame, order: tuple[str, ...], sums: dict[str, Column], totals: dict[str, Column] | None = None,
+               by: tuple[str, ...] = ()) -> DataFrame:
+    """Add sums over the rows strictly before each one in ``order`` among those with the same ``by``, and sums over all of these."""
+    totals = totals or {}
+    rows = ranged(df, (*by, *order)).withColumn("__by", F.struct(F.lit(0).alias("k"), *by))
+    inside = Window.partitionBy(RANGE, "__by").orderBy(PLACE).rowsBetween(UNBOUNDED, -1)
+    parts = rows.groupBy("__by", RANGE).agg(*[F.sum(e).alias(f"__c_{n}") for n, e in sums.items()],
+                                            *[F.sum(e).alias(f"__t_{n}") for n, e in totals.items()])
+    whole = Window.partitionBy("__by")  # a row for each range
+    earlier = whole.orderBy(RANGE).rowsBetween(UNBOUNDED, -1)
+    offsets = parts.select("__by", RANGE, *[F.sum(f"__c_{n}").over(earlier).alias(f"__off_{n}") for n in sums],
+                           *[F.sum(f"__t_{n}").over(whole).alias(f"__tot_{n}") for n in totals])
+    within = rows.select("*", *[F.sum(e).over(inside).alias(f"__in_{n}") for n, e in sums.items()])
+    zero = F.lit(0)
+    return within.join(offsets, [RANGE, "__by"]).select(
+        *df.columns,
+        *[(F.coalesce(F.col(f"__in_{n}"), zero) + F.coalesce(F.col(f"__off_{n}"), zero)).alias(n) for n in sums],
+        *[F.col(f"__tot_{n}").alias(n) for n in totals])
+
+
 def blocks(df: DataFrame, halo: int, size: int) -> DataFrame:
     """Spread rows that carry ``ordinal`` and ``entity_rows`` over blocks, each with its halo."""
     home = F.expr(f"{ORDINAL} div {size}")
