@@ -8,16 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tipoff.llm.conversation_trie import prefix_trie
 from tipoff.llm.decontaminate import find_windows, hit_report
 from tipoff.llm.html_text import extract
 from tipoff.llm.jaccard import Similarity, near_duplicates
 from tipoff.llm.licenses import scan
+from tipoff.llm.minmax import near_duplicates as min_max_duplicates
 from tipoff.llm.packing import pack, piece_report
 from tipoff.llm.quality import judge
 from tipoff.llm.secrets import find_secrets, secret_report
 from tipoff.llm.sharding import place
 from tipoff.llm.token_files import id_report, read_ids, write_ids
 from tipoff.llm.toxicity import CATEGORIES, fit_chain, score
+from tipoff.llm.whitening import whiten
 from tipoff.session import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,7 +49,82 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "p_low_quality", "p_toxic", "is_low_quality", F.col("is_toxic").alias("toxic"))
 
 
-@query("op3_ngram_jaccard_join")
+def _shingle_sql(share: int, columns: str) -> str:
+    """Components of all documents over links found by joining their distinct 4-word shingles."""
+    return f"""
+with recursive word as materialized (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+gram as materialized (
+  select distinct doc_id, array_to_string(w[k:k + least(4, len(w)) - 1], ' ') as g
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, least(len(w), 1)) + 1)) as k from word where len(w) > 0)),
+sized as materialized (select doc_id, count(*) as n from gram group by doc_id),
+copy as materialized (
+  select doc_id, min(doc_id) over (partition by h, n) as class, n
+  from (select doc_id, md5(string_agg(g, chr(10) order by g)) as h, count(*) as n from gram group by doc_id)),
+one as materialized (select g, doc_id, n from gram join copy using (doc_id) where class = doc_id),
+pair as materialized (
+  select a.doc_id as a, b.doc_id as b from one a join one b on a.g = b.g and a.doc_id < b.doc_id and least(a.n, b.n) * 100 >= greatest(a.n, b.n) * {share}
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= {share} * (a.n + b.n - count(*))),
+both as materialized (select a, b from pair union all select b, a from pair),
+reach(a, b) as (select distinct class, class from copy union select r.a, l.b from reach r join both l on r.b = l.a),
+least_of as (select a, min(b) as c from reach group by a),
+placed as (select d.doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(c, d.doc_id) as component_id
+  from documents d left join copy on copy.doc_id = d.doc_id left join least_of on least_of.a = copy.class)
+select doc_id, n_shingles, component_id{columns} from placed
+"""
+
+
+@query("op12_minmax_near_duplicates", _shingle_sql(80, ", doc_id = component_id as kept"))
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents linked by 80 % overlap of their 4-word n-grams, by min-max hashing."""
+    return min_max_duplicates(table(spark, sf_dir, "documents"), Similarity(words=4, share=80))
+
+
+OP11_SQL = """
+with turn as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+         row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as p
+  from conversations where conv_id is not null),
+own as (select conv_id, list({'role': role, 'text': text} order by p) as ts from turn group by conv_id),
+crc as (
+  select conv_id, ts, xor(4294967295::bigint, list_reduce(
+      list_prepend(4294967295::bigint, list_transform(range(1, length(conv_id::varchar) + 1), lambda i: ascii(substr(conv_id::varchar, i::integer, 1))::bigint)),
+      lambda c, x: list_reduce(list_prepend(xor(c, x), [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: xor(v >> 1, 3988292384::bigint * (v & 1))))) % 6 as h
+  from own),
+path as (
+  select crc.conv_id, list_concat(coalesce(base.ts[1:h], []), crc.ts[h + 1:]) as ts
+  from crc left join own base on base.conv_id = crc.conv_id - crc.conv_id % 100),
+step as (select conv_id, ts[1:d] as pre, d, d = len(ts) as is_end from (select conv_id, ts, unnest(range(0, len(ts) + 1)) as d from path)),
+node as (
+  select pre, d, min(conv_id) as conv_id, count(*) as n, sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (is_end), '')) as ends
+  from step group by pre, d),
+kids as (select pre[1:d - 1] as pre, count(*) as k from node where d > 0 group by 1),
+known as (
+  select node.pre, d, conv_id, n, ends, coalesce(k, 0) as k, case when d = 0 then 0 else (n - 1) * length(node.pre[d]['text']) end as saved
+  from node left join kids on kids.pre = node.pre),
+sums as (
+  select up as pre, sum(case when k = 0 then 1 else 0 end) as leaves, sum(saved) as saved
+  from (select pre[1:u] as up, k, saved from (select pre, k, saved, unnest(range(0, d + 1)) as u from known)) group by up)
+select known.conv_id, known.d::bigint as depth, parent.conv_id as parent_conv_id, known.n::bigint as n_convs, known.k::bigint as n_children,
+       leaves::bigint as n_leaves, sums.saved::bigint as saved_tokens, known.ends as ends_sha256
+from known join sums on sums.pre = known.pre left join known parent on known.d > 0 and parent.pre = known.pre[1:known.d - 1]
+"""
+
+
+@query("op11_conversation_trie", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the prefix trie of all rebuilt conversations."""
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_embedding_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All usable embeddings on the four components of largest variance."""
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op3_ngram_jaccard_join", _shingle_sql(85, ""))
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents linked by 85 % overlap of their 4-word n-grams."""
     return near_duplicates(table(spark, sf_dir, "documents"), Similarity(words=4, share=85))
