@@ -7,8 +7,9 @@ with a chance of 5e-8 (1 - 0.8^4 to the 32nd power).
 
 Documents with the same set become one row (the class, a node numbered by the set's hash). The classes that share a band form its bucket. No bucket makes all its pairs: in each
 round some members of a bucket are its centres, and the others are compared with them if they belong to other groups so far. Groups join where
-the whole sets confirm a link, a centre that has met the whole bucket leaves it, and the number of centres grows fourfold, until every bucket is one group or
-has no pairs left. So nothing is capped: what the first rounds leave is compared in full.
+the whole sets confirm a link, a centre that has met the whole bucket leaves it, and the number of centres grows eightfold, until every bucket is one group or
+has no pairs left. So nothing is capped: what the first rounds leave is compared in full. After the first round the n-grams that only one of the
+classes left has are counted: they bound what it can share with any other, and no pair below the bound is made.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ PERMUTATIONS, BAND, HELD = 64, 2, 8192
 #: Bits of each value that estimate the similarity, and standard deviations below the bound at which a pair is not looked at (a chance of 1e-9).
 PLANES, DEVIATIONS = 4, 6
 #: Centres of a bucket: this many times as many in each round as in the one before.
-GROWTH = 4
+GROWTH = 8
 
 FACTORS = (np.random.default_rng(20_240_601).integers(0, 1 << 63, PERMUTATIONS, np.uint64) << np.uint64(1)) | np.uint64(1)
 _FEATURES = schema_of(doc_id=T.LongType(), content=T.LongType(), n=T.LongType(), node=T.LongType(), bands=T.ArrayType(T.LongType()), planes=T.ArrayType(T.LongType()))
@@ -108,38 +109,70 @@ def _buckets(classes: DataFrame) -> DataFrame:
     return written(entries.join(broadcast_if_small(written(shared, "bands"), 16), "band"), "buckets")
 
 
+_FACTS = ["n", "shared", "planes"]
+
+
+def _shared_sizes(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, alone): the number of n-grams that no other of the nodes has."""
+
+    def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, runs in zip(batch.column(0).to_pylist(), batch.column(1)):
+                runs = np.frombuffer(runs.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(runs), node, np.int64)), pa.array(runs)], names=["node", "run"])
+
+    held = sets.join(broadcast_if_small(nodes, 16), "node", "left_semi").mapInArrow(columns, "node long, run long")
+    alone = held.groupBy("run").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last")
+    return alone.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+
+
+def _centres(live: DataFrame, each: int) -> DataFrame:
+    """At most ``each`` members of every bucket: the least node at first, then the least of each cell by a hash of node and band."""
+    cell = F.pmod(F.xxhash64("node", F.lit(each)), F.lit(each))
+    order = F.col("node") if each == 1 else F.xxhash64("node", "band")
+    chosen = live.select("*", cell.alias("cell")).groupBy("band", "cell").agg(F.min_by(F.struct("node", "g", *_FACTS), order).alias("c"))
+    return written(chosen.select("band", *[F.col(f"c.{x}").alias(f"c_{x}") for x in ("node", "g", *_FACTS)]), "centres")
+
+
 def _links(buckets: DataFrame, classes: DataFrame, sets: DataFrame, rule: Similarity) -> DataFrame:
     """(node, label): the groups of all classes that the links in buckets tie together."""
-    facts = classes.select("node", "n", "planes")
-    links = seen = grouped = None
-    centres_each = 1
+    grouped = classes.where("false").select("node", F.col("node").alias("label"))
+    facts = classes.select("node", "n", F.col("n").alias("shared"), "planes")
+    live = buckets.join(facts, "node").withColumn("g", F.col("node"))
+    links = seen = None
+    each = 1
+    share = F.least("shared", "c_shared")
+    possible = (F.col("g") != F.col("c_g")) & rule.sizes_fit("n", "c_n") & (rule.base * share >= rule.share * (F.col("n") + F.col("c_n") - share)) & (
+        equal_values("planes", "c_planes") >= least_equal(rule))
     while True:
-        groups = buckets.select("band", "node") if grouped is None else buckets.join(broadcast_if_small(grouped, 32), "node", "left")
-        groups = groups.withColumn("g", F.col("node") if grouped is None else F.coalesce("label", "node")).select("band", "node", "g")
-        open_ = groups.groupBy("band").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("band")
-        live = written(groups.join(broadcast_if_small(written(open_, "open"), 16), "band"), "live")
+        live = written(live, "live")
         if not live.limit(1).count():
-            return grouped if grouped is not None else classes.where("false").select("node", F.col("node").alias("label"))
-        # centres: the least node of each bucket at first, then that of each of its cells, drawn anew in every round
-        cell = F.pmod(F.xxhash64("node", F.lit(centres_each)), F.lit(centres_each))
-        order = F.col("node") if centres_each == 1 else F.xxhash64("node", "band")
-        centres = live.select("*", cell.alias("cell")).groupBy("band", "cell").agg(F.min_by(F.struct("node", "g"), order).alias("c"))
-        centres = written(centres.select("band", F.col("c.node").alias("centre"), F.col("c.g").alias("centre_g")), "centres")
-        met = live.join(broadcast_if_small(centres, 40), "band").where("g <> centre_g").select(
-            F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
-        if seen is not None:
-            met = met.join(broadcast_if_small(seen, 24), ["a", "b"], "left_anti")
-        met = written(met, "met")
-        pairs = broadcast_if_small(met, 24)
-        first, second = (facts.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("planes").alias(f"planes_{x}")) for x in "ab")
-        close = pairs.join(first, "a").join(second, "b").where(rule.sizes_fit("n_a", "n_b") & (equal_values("planes_a", "planes_b") >= least_equal(rule)))
-        found = confirmed(close.select("a", "b"), sets, rule)
-        links = found if links is None else written(links.unionByName(found), "links")
+            return grouped
+        centres = _centres(live, each)
+        met = live.join(broadcast_if_small(centres, 120), "band").where(possible).select(
+            F.least("c_node", "node").alias("a"), F.greatest("c_node", "node").alias("b")).distinct()
+        met = written(met if seen is None else met.join(broadcast_if_small(seen, 24), ["a", "b"], "left_anti"), "met")
+        found = confirmed(met, sets, rule)
+        if found.limit(1).count():
+            links = found if links is None else written(links.unionByName(found), "links")
+            grouped = written(components(links), "groups")
         seen = met if seen is None else written(seen.unionByName(met), "seen")
-        grouped = written(components(links), "groups")
-        done = broadcast_if_small(centres.select("band", F.col("centre").alias("node")), 24)
-        buckets = written(live.select("band", "node").join(done, ["band", "node"], "left_anti"), "buckets")
-        centres_each *= GROWTH
+        done = broadcast_if_small(centres.select("band", F.col("c_node").alias("node")), 24)
+        left = live.drop("g").join(done, ["band", "node"], "left_anti").join(broadcast_if_small(grouped, 32), "node", "left")
+        live = _open(left.withColumn("g", F.coalesce("label", "node")).drop("label"))
+        if each == 1:
+            live = written(live, "live")
+            alone = written(_shared_sizes(live.select("node").distinct(), sets), "alone")
+            live = live.join(broadcast_if_small(alone, 24), "node", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+            live = _open(live.where(rule.base * F.col("shared") >= rule.share * F.col("n")))
+        each *= GROWTH
+
+
+def _open(entries: DataFrame) -> DataFrame:
+    """The entries of buckets that hold several groups."""
+    entries = written(entries, "left")
+    several = entries.groupBy("band").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("band")
+    return entries.join(broadcast_if_small(written(several, "several"), 16), "band")
 
 
 def near_duplicates(documents: DataFrame, rule: Similarity = Similarity(5, 80)) -> DataFrame:

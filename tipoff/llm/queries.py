@@ -66,8 +66,8 @@ one as materialized (select g, doc_id, n from gram join copy using (doc_id) wher
 pair as materialized (
   select a.doc_id as a, b.doc_id as b from one a join one b on a.g = b.g and a.doc_id < b.doc_id and least(a.n, b.n) * 100 >= greatest(a.n, b.n) * {share}
   group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= {share} * (a.n + b.n - count(*))),
-both as materialized (select a, b from pair union all select b, a from pair),
-reach(a, b) as (select distinct class, class from copy union select r.a, l.b from reach r join both l on r.b = l.a),
+tie as materialized (select a, b from pair union all select b, a from pair),
+reach(a, b) as (select distinct class, class from copy union select r.a, l.b from reach r join tie l on r.b = l.a),
 least_of as (select a, min(b) as c from reach group by a),
 placed as (select d.doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(c, d.doc_id) as component_id
   from documents d left join copy on copy.doc_id = d.doc_id left join least_of on least_of.a = copy.class)
