@@ -105,6 +105,24 @@ def test_signature_estimates_the_similarity():
     assert abs(np.mean(errors)) < 0.01 and np.std(errors) < 0.05
 
 
+def test_no_pair_at_the_bound_is_ruled_out_by_its_signature():
+    rng = np.random.default_rng(6)
+    for size in (5, 50, 500):
+        for _ in range(40):
+            universe = rng.integers(0, 1 << 63, size, np.uint64)
+            bits = [minmax.bit_planes(minmax.min_max(np.sort(x))).view(np.uint64) for x in (universe[size // 10:], universe[:size - size // 10])]
+            differ = np.unpackbits((bits[0] ^ bits[1]).view(np.uint8)).reshape(minmax.PLANES, -1).any(axis=0).sum()
+            assert 2 * minmax.PERMUTATIONS - differ >= minmax.least_equal(RULE)
+
+
+def test_cells_and_rounds_of_centres_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(minmax, "CELL", 3)
+    monkeypatch.setattr(minmax, "LARGE", 6)
+    monkeypatch.setattr(minmax, "COLUMNS", 7)
+    rows = variants(3, families=3)
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == plain(rows)
+
+
 def test_long_sets_in_parts():
     hashes = np.arange(1, 30_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     values = minmax.FACTORS[:, None] * hashes[None, :]

@@ -5,11 +5,12 @@ permutations give as many values, and as the two ends of one permutation vary ag
 estimates the similarity with less variance. Two permutations, four values, are a band. Sets of similarity 0.8 differ in all 32 bands
 with a chance of 5e-8 (1 - 0.8^4 to the 32nd power).
 
-Documents with the same set become one row (the class, a node numbered by the set's hash). The classes that share a band form its bucket. No bucket makes all its pairs: in each
-round some members of a bucket are its centres, and the others are compared with them if they belong to other groups so far. Groups join where
-the whole sets confirm a link, a centre that has met the whole bucket leaves it, and the number of centres grows eightfold, until every bucket is one group or
-has no pairs left. So nothing is capped: what the first rounds leave is compared in full. After the first round the n-grams that only one of the
-classes left has are counted: they bound what it can share with any other, and no pair below the bound is made.
+Documents with the same set become one row (the class, a node numbered by the set's hash). The classes that share a band form its bucket. No
+bucket makes all its pairs. First, one member of each bucket is its centre, the others are compared with it, and links confirmed on whole sets tie
+groups together; a bucket that is one group is done. While that still joins groups in large buckets, it is repeated with eight more centres each.
+Of the classes left, the n-grams that no other one has are counted: who shares too few with all others has no link to come. What
+remains of a bucket is multiplied out in blocks: a task holds the whole sets of about two times ``CELL`` members as a sparse matrix, counts all overlaps between
+different groups, and returns only links that join them. So nothing is capped, and no pairs travel.
 """
 
 from __future__ import annotations
@@ -24,18 +25,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tipoff.llm.components import components
-from tipoff.llm.frames import broadcast_if_small, raw_texts, schema_of
+from tipoff.llm.frames import broadcast_if_small, in_batches, raw_texts, schema_of
 from tipoff.llm.jaccard import Similarity
 from tipoff.llm.setpairs import confirmed, set_of, shared_ids
 from tipoff.llm.shingles import WordHashes
 from tipoff.session import written
 
 #: Permutations, permutations in a band, and permuted hashes held at a time.
-PERMUTATIONS, BAND, HELD = 64, 2, 8192
-#: Bits of each value that estimate the similarity, and standard deviations below the bound at which a pair is not looked at (a chance of 1e-9).
+PERMUTATIONS, BAND, HELD = 64, 2, 1 << 19
+#: Bits of each value that estimate the similarity, and standard deviations below the bound at which a centre does not look at a class (a chance of 1e-9).
 PLANES, DEVIATIONS = 4, 6
-#: Centres of a bucket: this many times as many in each round as in the one before.
-GROWTH = 8
+#: Centres of a bucket in the rounds after the first; entries of a bucket up to which there are no such rounds.
+CENTRES, LARGE = 8, 2048
+#: Members of a bucket in a cell (two cells meet in a block), n-grams of a cell, and columns of a block that are multiplied at a time.
+CELL, CELL_GRAMS, COLUMNS = 256, 1 << 20, 4096
 
 FACTORS = (np.random.default_rng(20_240_601).integers(0, 1 << 63, PERMUTATIONS, np.uint64) << np.uint64(1)) | np.uint64(1)
 _FEATURES = schema_of(doc_id=T.LongType(), content=T.LongType(), n=T.LongType(), node=T.LongType(), bands=T.ArrayType(T.LongType()), planes=T.ArrayType(T.LongType()))
@@ -45,8 +48,9 @@ def min_max(hashes: np.ndarray) -> np.ndarray:
     """Smallest and largest value of a set's hashes under each permutation: shape (PERMUTATIONS, 2)."""
     out = np.empty((PERMUTATIONS, 2), np.uint64)
     out[:, 0], out[:, 1] = np.uint64(2**64 - 1), 0
-    for at in range(0, len(hashes), HELD):
-        values = FACTORS[:, None] * hashes[None, at:at + HELD]
+    step = HELD // PERMUTATIONS
+    for at in range(0, len(hashes), step):
+        values = FACTORS[:, None] * hashes[None, at:at + step]
         np.minimum(out[:, 0], values.min(axis=1), out=out[:, 0])
         np.maximum(out[:, 1], values.max(axis=1), out=out[:, 1])
     return out
@@ -58,16 +62,16 @@ def band_keys(values: np.ndarray) -> np.ndarray:
 
 
 def bit_planes(values: np.ndarray) -> np.ndarray:
-    """A few bits of every value: PLANES times as many bits as values, plane by plane."""
+    """A few bits of every value, plane by plane."""
     flat = values.reshape(-1)
     flat = flat ^ (flat >> np.uint64(32))
     return np.concatenate([np.packbits(((flat >> np.uint64(8 + p)) & np.uint64(1)).astype(np.uint8)).view("<i8") for p in range(PLANES)])
 
 
-def equal_values(planes_a: str, planes_b: str) -> Column:
+def equal_values(a: str, b: str) -> Column:
     """How many of all values agree in all their planes."""
     words = 2 * PERMUTATIONS // 64
-    differ = [" | ".join(f"({planes_a}[{p * words + w}] ^ {planes_b}[{p * words + w}])" for p in range(PLANES)) for w in range(words)]
+    differ = [" | ".join(f"({a}[{p * words + w}] ^ {b}[{p * words + w}])" for p in range(PLANES)) for w in range(words)]
     return F.lit(2 * PERMUTATIONS) - F.expr(" + ".join(f"bit_count({d})" for d in differ))
 
 
@@ -109,11 +113,8 @@ def _buckets(classes: DataFrame) -> DataFrame:
     return written(entries.join(broadcast_if_small(written(shared, "bands"), 16), "band"), "buckets")
 
 
-_FACTS = ["n", "shared", "planes"]
-
-
-def _shared_sizes(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, alone): the number of n-grams that no other of the nodes has."""
+def _linkable(live: DataFrame, sets: DataFrame, rule: Similarity) -> DataFrame:
+    """The entries whose n-grams are shared with others of these nodes to the extent that any link asks for."""
 
     def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,58 +122,111 @@ def _shared_sizes(nodes: DataFrame, sets: DataFrame) -> DataFrame:
                 runs = np.frombuffer(runs.as_buffer(), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(runs), node, np.int64)), pa.array(runs)], names=["node", "run"])
 
-    held = sets.join(broadcast_if_small(nodes, 16), "node", "left_semi").mapInArrow(columns, "node long, run long")
-    alone = held.groupBy("run").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last")
-    return alone.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    nodes = written(live.select("node").distinct(), "nodes")
+    held = sets.join(broadcast_if_small(nodes, 16), "node", "left_semi")
+    alone = held.mapInArrow(columns, "node long, run long").groupBy("run").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last")
+    alone = written(alone.groupBy("node").agg(F.count(F.lit(1)).alias("alone")), "alone")
+    left = live.join(broadcast_if_small(alone, 24), "node", "left")
+    return left.where(rule.base * (F.col("n") - F.coalesce("alone", F.lit(0))) >= rule.share * F.col("n")).drop("alone")
+
+
+def _centres(live: DataFrame, each: int, turn: int) -> DataFrame:
+    """At most ``each`` members of every bucket: the least node at first, then the least of each cell by a hash."""
+    order = F.col("node") if each == 1 else F.xxhash64("node", "band", F.lit(turn))
+    cell = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(each))
+    chosen = live.select("*", cell.alias("cell")).groupBy("band", "cell").agg(F.min_by(F.struct("node", "g", "n", "planes"), order).alias("c"))
+    return written(chosen.select("band", *[F.col(f"c.{x}").alias(f"c_{x}") for x in ("node", "g", "n", "planes")]), "centres")
 
 
-def _centres(live: DataFrame, each: int) -> DataFrame:
-    """At most ``each`` members of every bucket: the least node at first, then the least of each cell by a hash of node and band."""
-    cell = F.pmod(F.xxhash64("node", F.lit(each)), F.lit(each))
-    order = F.col("node") if each == 1 else F.xxhash64("node", "band")
-    chosen = live.select("*", cell.alias("cell")).groupBy("band", "cell").agg(F.min_by(F.struct("node", "g", *_FACTS), order).alias("c"))
-    return written(chosen.select("band", *[F.col(f"c.{x}").alias(f"c_{x}") for x in ("node", "g", *_FACTS)]), "centres")
+def _open(entries: DataFrame) -> DataFrame:
+    """The entries of buckets that hold several groups."""
+    entries = written(entries, "left")
+    several = entries.groupBy("band").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("band")
+    return written(entries.join(broadcast_if_small(written(several, "several"), 16), "band"), "live")
 
 
 def _links(buckets: DataFrame, classes: DataFrame, sets: DataFrame, rule: Similarity) -> DataFrame:
-    """(node, label): the groups of all classes that the links in buckets tie together."""
-    grouped = classes.where("false").select("node", F.col("node").alias("label"))
-    facts = classes.select("node", "n", F.col("n").alias("shared"), "planes")
-    live = buckets.join(facts, "node").withColumn("g", F.col("node"))
-    links = seen = None
-    each = 1
-    share = F.least("shared", "c_shared")
-    possible = (F.col("g") != F.col("c_g")) & rule.sizes_fit("n", "c_n") & (rule.base * share >= rule.share * (F.col("n") + F.col("c_n") - share)) & (
-        equal_values("planes", "c_planes") >= least_equal(rule))
+    """(a, b): links that tie together all that any links in buckets tie."""
+    live = written(buckets.join(classes, "node").withColumn("g", F.col("node")), "live")
+    links, each, turn = None, 1, 0
     while True:
-        live = written(live, "live")
-        if not live.limit(1).count():
-            return grouped
-        centres = _centres(live, each)
-        met = live.join(broadcast_if_small(centres, 120), "band").where(possible).select(
-            F.least("c_node", "node").alias("a"), F.greatest("c_node", "node").alias("b")).distinct()
-        met = written(met if seen is None else met.join(broadcast_if_small(seen, 24), ["a", "b"], "left_anti"), "met")
-        found = confirmed(met, sets, rule)
-        if found.limit(1).count():
-            links = found if links is None else written(links.unionByName(found), "links")
-            grouped = written(components(links), "groups")
-        seen = met if seen is None else written(seen.unionByName(met), "seen")
+        centres = _centres(live, each, turn)
+        near = (F.col("g") != F.col("c_g")) & rule.sizes_fit("n", "c_n") & (equal_values("planes", "c_planes") >= least_equal(rule))
+        met = live.join(broadcast_if_small(centres, 150), "band").where(near)
+        found = confirmed(met.select(F.least("c_node", "node").alias("a"), F.greatest("c_node", "node").alias("b")), sets, rule)
+        links = found if links is None else written(links.unionByName(found), "links")
+        grouped = written(components(links), "groups")
         done = broadcast_if_small(centres.select("band", F.col("c_node").alias("node")), 24)
         left = live.drop("g").join(done, ["band", "node"], "left_anti").join(broadcast_if_small(grouped, 32), "node", "left")
         live = _open(left.withColumn("g", F.coalesce("label", "node")).drop("label"))
-        if each == 1:
-            live = written(live, "live")
-            alone = written(_shared_sizes(live.select("node").distinct(), sets), "alone")
-            live = live.join(broadcast_if_small(alone, 24), "node", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
-            live = _open(live.where(rule.base * F.col("shared") >= rule.share * F.col("n")))
-        each *= GROWTH
-
+        if turn == 0:
+            live = _open(_linkable(live, sets, rule))
+        largest = live.groupBy("band").count().agg(F.max("count")).first()[0] or 0
+        if largest <= LARGE or not found.limit(1).count():
+            return links.unionByName(_multiplied(live, sets, rule))
+        each, turn = CENTRES, turn + 1
+
+
+def block_links(nodes: list[int], groups: list[int], sets: list[np.ndarray], rule: Similarity) -> Iterator[tuple[int, int]]:
+    """Links between the sets of a block that join different groups, and no more than join them."""
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = held[column] > 1
+    number = np.cumsum(held > 1) - 1
+    column, owner = number[column[shared]], owner[shared]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    overlap = np.zeros((len(sets), len(sets)), np.float32)
+    cuts = np.searchsorted(column, np.arange(0, (int(column[-1]) if len(column) else 0) + COLUMNS + 1, COLUMNS))
+    for k, (start, end) in enumerate(zip(cuts[:-1], cuts[1:])):
+        part = np.zeros((len(sets), COLUMNS), np.float32)  # counts below 2^24 are exact
+        part[owner[start:end], column[start:end] - k * COLUMNS] = 1
+        overlap += part @ part.T
+    common = overlap.astype(np.int64)
+    linked = rule.base * common >= rule.share * (size[:, None] + size[None, :] - common)
+    g = np.array(groups)
+    root = {x: x for x in groups}
+    for i, j in np.argwhere(np.triu(linked & (g[:, None] != g[None, :]), 1)).tolist():
+        x, y = groups[i], groups[j]
+        while root[x] != x:
+            x = root[x]
+        while root[y] != y:
+            y = root[y]
+        if x != y:
+            root[x] = y
+            yield nodes[i], nodes[j]
+
+
+def _multiplied(live: DataFrame, sets: DataFrame, rule: Similarity) -> DataFrame:
+    """The links that are left in the buckets. A bucket's members are dealt into cells, and any two cells meet in a block."""
+    cells = live.groupBy("band").agg(F.ceil(F.greatest(F.count(F.lit(1)) / CELL, F.sum("n") / CELL_GRAMS)).alias("cells"))
+    dealt = live.join(broadcast_if_small(written(cells, "cells"), 24), "band").withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("other")
+    uses = dealt.select("band", "node", "g", "cell", other).select(
+        "band", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), "node", "g")
+    uses = written(uses, "uses")
+    rows = sets.join(broadcast_if_small(uses, 48), "node").select("band", "i", "j", "node", "g", "runs")
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from in_batches(links(batches), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        at, nodes, groups, held = None, [], [], []
+        for batch in batches:
+            for row, (band, i, j, node, g) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:5]))):
+                if (band, i, j) != at:
+                    if len(held) > 1:
+                        yield from block_links(nodes, groups, held, rule)
+                    at, nodes, groups, held = (band, i, j), [], [], []
+                nodes.append(node)
+                groups.append(g)
+                held.append(np.frombuffer(batch.column(5)[row].as_py(), np.uint64))
+        if len(held) > 1:
+            yield from block_links(nodes, groups, held, rule)
 
-def _open(entries: DataFrame) -> DataFrame:
-    """The entries of buckets that hold several groups."""
-    entries = written(entries, "left")
-    several = entries.groupBy("band").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("band")
-    return entries.join(broadcast_if_small(written(several, "several"), 16), "band")
+    ordered = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return written(ordered.mapInArrow(multiply, "a long, b long").distinct(), "links")
 
 
 def near_duplicates(documents: DataFrame, rule: Similarity = Similarity(5, 80)) -> DataFrame:
@@ -189,8 +243,8 @@ def near_duplicates(documents: DataFrame, rule: Similarity = Similarity(5, 80))
     classes = written(known.groupBy("node").agg(F.min(F.struct("doc_id", "content")).alias("first"), F.count(F.lit(1)).alias("rows"), F.any_value("n").alias("n"),
                                                 F.any_value("bands").alias("bands"), F.any_value("planes").alias("planes")), "classes")
     buckets = _buckets(classes)
-    grouped = _links(buckets, classes.select("node", "n", "planes"), _sets(documents, classes, buckets, rule), rule)
-    labels = components(grouped.select(F.col("label").alias("a"), F.col("node").alias("b")).unionByName(shared_ids(known.select("doc_id", "node"))))
+    links = _links(buckets, classes.select("node", "n", "planes"), _sets(documents, classes, buckets, rule), rule)
+    labels = components(links.unionByName(shared_ids(known.select("doc_id", "node"))))
     named = written(classes.select("node", F.col("first.doc_id").alias("doc_id")).join(labels, "node", "left").select(
         "node", "doc_id", F.coalesce("label", "node").alias("label")), "named")
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
