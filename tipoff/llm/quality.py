@@ -1,11 +1,12 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule is a share between 0 and 1 of a document, in 256 levels; higher is worse. For each stratum and rule, the labelled documents give
-the number of good ones that a cutoff would reject. Cutoffs are tested from the most lenient on with the exact binomial
-test of "more than ``risk`` of the good documents are rejected"; the first that cannot be ruled out ends the sequence, so the cutoffs
-before it hold together at the test's level. Levels are divided by the number of strata times rules (Bonferroni), and the
-allowed share is divided among the rules, so that with probability 1 - alpha no stratum loses more than ``risk`` of its good documents. Of the
-cutoffs that hold, the one is used that rejects most bad documents more than good ones, and the most lenient of equals.
+Each rule is a share between 0 and 1 of a document, in 256 levels; higher is worse. The rules of a stratum are tightened together, along one path
+of steps: each step lowers the cutoff of one rule. The path comes from a third of the labelled documents, drawn by the hash of their id: the steps
+that reject most bad documents for a good one come first, and those that reject no more bad ones than good ones are left out. The other labelled documents are the
+holdout. A document is rejected from the first step on that reaches it by any rule, so the holdout's good documents, counted by that step, tell how
+many the rules together reject. From the first step on, the exact binomial test of "more than ``risk`` of the good documents are rejected" is made at
+``alpha`` over the number of strata (Bonferroni); the first step that cannot be proved ends the sequence. As the steps are nested and fixed before, the ones before it
+hold together: with probability 1 - alpha no stratum loses more than ``risk`` of its good documents. The last of them gives the cutoffs.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from tipoff.session import written
 #: Greatest share of good documents that the rules together may reject in a stratum, and the chance that this fails anywhere.
 RISK, ALPHA = 0.05, 0.05
 LEVELS = 256
+#: One in so many labelled documents shapes the path; the others are the holdout.
+PATH_PART = 3
 RULES = ("symbols", "repeated_lines", "repeated_words", "capitals", "exclamations", "word_length")
 WINDOW = 5
 #: Base rule: too few words, or too large a share (in percent) of words in repeated windows.
@@ -96,39 +99,77 @@ def binomial_below(k: int, n: int, p: float) -> float:
     return min(1.0, exp(top) * sum(exp(t - top) for t in terms))
 
 
-def cutoff(good: np.ndarray, bad: np.ndarray, risk: float, level: float) -> int:
-    """The least level that is rejected, or ``LEVELS + 1`` for none, from counts of documents by level (0 to ``LEVELS``)."""
-    n = int(good.sum())
-    rejected_good, rejected_bad = good[::-1].cumsum()[::-1], bad[::-1].cumsum()[::-1]
-    best, gain, tested = LEVELS + 1, 0, -1
-    for at in range(LEVELS, 0, -1):
-        k = int(rejected_good[at])
-        if k != tested:  # the test's outcome only changes with the count
-            tested = k
-            if not n or binomial_below(k, n, risk) > level:
-                break
-        if rejected_bad[at] - k > gain:
-            best, gain = at, rejected_bad[at] - k
-    return best
+def tightening(good: np.ndarray, bad: np.ndarray) -> list[tuple[int, int]]:
+    """The path: (rule, least level rejected) step by step, from counts of documents by rule and level (0 to ``LEVELS``)."""
+    steps = []
+    for rule in range(len(good)):
+        parts: list[list[int]] = []  # least level, good and bad documents of a run of levels, from the top
+        for level in range(LEVELS, 0, -1):
+            if not (good[rule, level] or bad[rule, level]):
+                continue
+            parts.append([level, int(good[rule, level]), int(bad[rule, level])])
+            # a run goes before a worse one of the same rule, so runs out of order are one
+            while len(parts) > 1 and parts[-1][2] * (parts[-2][1] + parts[-2][2]) >= parts[-2][2] * (parts[-1][1] + parts[-1][2]):
+                level_, g, b = parts.pop()
+                parts[-1] = [level_, parts[-1][1] + g, parts[-1][2] + b]
+        steps += [(-b / (g + b), -b, rule, level) for level, g, b in parts if b > g]
+    return [(rule, level) for _, _, rule, level in sorted(steps)]
+
+
+def proved(rejected: np.ndarray, total: int, risk: float, level: float) -> int:
+    """How many steps hold, from the good holdout documents that each step is the first to reject."""
+    k = 0
+    for step, more in enumerate(rejected):
+        k += int(more)
+        if not total or binomial_below(k, total, risk) > level:
+            return step
+    return len(rejected)
+
+
+def _by_rule(steps: list[tuple[int, int]]) -> list[list[int]]:
+    """For each rule and level, the first step that rejects it; the number of steps where none does."""
+    first = np.full((len(RULES), LEVELS + 1), len(steps), np.int64)
+    for at, (rule, level) in reversed(list(enumerate(steps))):
+        first[rule, level:] = at
+    return first.tolist()
 
 
 def fit_cutoffs(measured: DataFrame, labels: DataFrame, good: str = "quality = 1", risk: float = RISK, alpha: float = ALPHA) -> DataFrame:
     """(stratum, cutoffs): the least rejected level of each rule, from all labelled documents that pass the base rule."""
     known = labels.select("doc_id", F.expr(good).alias("good")).where("doc_id is not null and good is not null")
-    held = measured.where("not base_failed").select("doc_id", "stratum", "levels").join(known, "doc_id")
-    counts = written(held.select("stratum", "good", F.posexplode("levels").alias("rule", "level")).groupBy("stratum", "rule", "level")
-                     .agg(F.sum(F.col("good").cast("long")).alias("n_good"), F.sum((~F.col("good")).cast("long")).alias("n_bad")), "levels")
-    tests = max(1, counts.select("stratum").distinct().count() * len(RULES))
-
-    def choose(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        chosen = []
-        for rule in range(len(RULES)):
-            own = rows[rows["rule"] == rule]
-            tables = [np.bincount(own["level"], weights=own[c], minlength=LEVELS + 1).astype(np.int64) for c in ("n_good", "n_bad")]
-            chosen.append(cutoff(*tables, risk / len(RULES), alpha / tests))
-        return pd.DataFrame({"stratum": [key[0]], "cutoffs": [chosen]})
-
-    return counts.groupBy("stratum").applyInPandas(choose, "stratum string, cutoffs array<int>")
+    shapes = F.pmod(F.xxhash64("doc_id"), F.lit(PATH_PART)) == 0
+    held = written(measured.where("not base_failed").select("doc_id", "stratum", "levels").join(known, "doc_id").select(
+        "stratum", "good", "levels", shapes.alias("shapes")), "labelled")
+    strata = max(1, held.select("stratum").distinct().count())
+    counts = held.where("shapes").select("stratum", "good", F.posexplode("levels").alias("rule", "level")).groupBy("stratum", "rule", "level").agg(
+        F.count_if("good").alias("n_good"), F.count_if(~F.col("good")).alias("n_bad"))
+
+    def path(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        tables = np.zeros((2, len(RULES), LEVELS + 1), np.int64)
+        for rule, level, g, b in rows[["rule", "level", "n_good", "n_bad"]].itertuples(index=False):
+            tables[:, rule, level] = g, b
+        steps = tightening(*tables)
+        return pd.DataFrame({"stratum": [key[0]], "rules": [[r for r, _ in steps]], "leasts": [[x for _, x in steps]], "first": [_by_rule(steps)]})
+
+    paths = written(counts.groupBy("stratum").applyInPandas(path, "stratum string, rules array<int>, leasts array<int>, first array<array<int>>"), "paths")
+    reached = F.array_min(F.zip_with("first", "levels", lambda steps, level: F.get(steps, level)))
+    tested = held.where("good and not shapes").join(broadcast_if_small(paths.select("stratum", "first"), 8 * len(RULES) * LEVELS), "stratum").select(
+        "stratum", reached.alias("step")).groupBy("stratum", "step").agg(F.count(F.lit(1)).alias("n"))
+    tested = tested.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("step", "n"))).alias("n"))  # an entry for each step at most
+
+    def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for rules, leasts, n in zip(frame["rules"], frame["leasts"], frame["n"]):
+                n = dict(n) if n is not None else {}
+                holds = proved(np.array([n.get(k, 0) for k in range(len(rules))]), sum(n.values()), risk, alpha / strata)
+                chosen = [LEVELS + 1] * len(RULES)
+                for rule, least in zip(rules[:holds], leasts[:holds]):
+                    chosen[rule] = min(chosen[rule], least)
+                out.append(chosen)
+            yield pd.DataFrame({"stratum": frame["stratum"], "cutoffs": out})
+
+    return paths.drop("first").join(tested, "stratum", "left").mapInPandas(choose, "stratum string, cutoffs array<int>")
 
 
 def judge(documents: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, alpha: float = ALPHA) -> DataFrame:
