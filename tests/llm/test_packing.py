@@ -11,16 +11,15 @@ from tipoff.llm.tokens import Encoder
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 TEXTS = ["", "one", " lead", "two  spaces\n\n\nand\ttabs \n mixed ", "it's we'll 12 34ab !?", "Ünï  nb sp ́combining á", "Σίσυφος ΣΑΣ",
-         "<|endoftext|> a <|startoftext|>", "odd\x1cspace \x1f end", "日本語 テキスト 🙂🙂", "x" * 3000, " \n ", "tail \n", "a  b\u0085  c"]
+         "<|endoftext|> a <|startoftext|>", "one <|endoftext|> two", "x<|ENDOFTEXT|>y", "<|endof text|>", "a <| b", "odd\x1cspace \x1f end", "日本語 テキスト 🙂🙂", "x" * 3000, " \n ", "tail \n", "a  b\u0085  c"]
 
 
 @pytest.mark.parametrize("path,spaces", [(BYTES, True), (WORDS, False)])
 def test_ids_equal_those_of_whole_texts(path, spaces):
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     rng = random.Random(1)
     texts = TEXTS + ["".join(rng.choices("ab 1'.\n\tüΣ ", k=60)) for _ in range(300)]
-    for limit in (50, 10_000):
+    for limit in (50, 3_000, 1_000_000):
         found = Encoder(path, spaces, limit).encode(texts)
         assert [np.frombuffer(f, "<u4").tolist() for f in found] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
@@ -60,7 +59,6 @@ def test_pieces_hold_each_id_once_without_padding(spark, monkeypatch, pool):
     docs = spark.createDataFrame([(k, t, 1, 2) for k, t in enumerate(texts)], "doc_id long, text string, start int, ids int").repartition(3)
     rows = pack(docs, BYTES).collect()
     plain = Tokenizer.from_file(BYTES)
-    plain.encode_special_tokens = True
     for doc_id, text in enumerate(texts):
         pieces = sorted((r for r in rows if r.doc_id == doc_id), key=lambda r: r.start)
         assert [r.start for r in pieces] == np.cumsum([0, *[r.length for r in pieces][:-1]]).tolist()

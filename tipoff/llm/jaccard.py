@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tipoff.llm.components import components
-from tipoff.llm.frames import broadcast_if_small, in_batches, raw_texts, schema_of
+from tipoff.llm.frames import broadcast_if_small, in_batches, raw_texts, schema_of, tidied
 from tipoff.llm.shingles import WordHashes, distinct_runs
 from tipoff.session import written
 
@@ -94,7 +94,7 @@ def _sketch(documents: DataFrame, rule: Similarity) -> bytes:
                 total += np.frombuffer(counts, "<i4" if len(counts) == 4 * CELL_BLOCK else "<i8")
         yield pd.DataFrame({"block": [key[0]], "levels": [np.ceil(np.log2(total + 1)).astype(np.uint8).tobytes()]})
 
-    parts = documents.select("text").mapInArrow(count, "block int, counts binary")
+    parts = documents.select("text").mapInArrow(tidied(count), "block int, counts binary")
     levels = np.zeros((CELLS // CELL_BLOCK, CELL_BLOCK), np.uint8)
     for row in parts.groupBy("block").applyInPandas(add, "block int, levels binary").toLocalIterator():
         levels[row.block] = np.frombuffer(row.levels, np.uint8)
@@ -131,7 +131,7 @@ def _features(documents: DataFrame, rule: Similarity, levels: bytes) -> DataFram
                  long_list(np.concatenate(prefix) if size else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(lengths)]))],
                 names=["doc_id", "n", "sig", "mins", "prefix"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(features, FEATURES)
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidied(features), FEATURES)
 
 
 def _verified(pairs: DataFrame, documents: DataFrame, rule: Similarity) -> DataFrame:
@@ -177,9 +177,9 @@ def _verified(pairs: DataFrame, documents: DataFrame, rule: Similarity) -> DataF
                 elif any(_overlap_reached(head, runs, rule) for head in heads_now):
                     yield a, doc_id
 
-    moved = texts.select("doc_id", "text", "uses").mapInArrow(sets, "a long, block long, role int, doc_id long, runs binary")
+    moved = texts.select("doc_id", "text", "uses").mapInArrow(tidied(sets), "a long, block long, role int, doc_id long, runs binary")
     dealt = moved.repartition("a", "block").sortWithinPartitions("a", "block", "role")
-    return written(dealt.mapInArrow(overlap, "a long, b long").distinct(), "links")
+    return written(dealt.mapInArrow(tidied(overlap), "a long, b long").distinct(), "links")
 
 
 def _overlap_reached(x: np.ndarray, y: np.ndarray, rule: Similarity) -> bool:

@@ -18,11 +18,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tipoff.llm.frames import in_batches
+from tipoff.llm.frames import in_batches, tidied
 from tipoff.llm.tokens import encoder
 
 #: Tokens of remainders that a task holds before it packs them.
-POOL_TOKENS = 6 << 20
+POOL_TOKENS = 2 << 20
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
@@ -132,7 +132,6 @@ def pack(documents: DataFrame, vocabulary: str, end_id: int = 0, capacity: int =
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from in_batches(rows(batches), _ARROW)
-        encoder(vocabulary, True).forget()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         ids_of = encoder(vocabulary, True)
@@ -162,7 +161,7 @@ def pack(documents: DataFrame, vocabulary: str, end_id: int = 0, capacity: int =
                         pool, pooled = [], 0
         yield from pack_pool(pool, capacity, number)
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(packed, SCHEMA)
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidied(packed), SCHEMA)
 
 
 def piece_report(pieces: DataFrame) -> DataFrame:

@@ -38,7 +38,6 @@ def write_ids(documents: DataFrame, path: str, vocabulary: str, end_id: int = 1)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from in_batches(coded(batches), _ARROW, max_rows=1)
-        encoder(vocabulary, False).forget()
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         ids_of, end, part = encoder(vocabulary, False), end_id.to_bytes(4, "little"), TaskContext.get().partitionId()

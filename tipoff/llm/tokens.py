@@ -2,7 +2,8 @@
 
 Both vocabularies used here cut a text before every run of white space that follows other characters, and encode the parts
 on their own. So a text's ids are the ids of its words one after another, and the library only has to see each
-word once. Texts with U+001C to U+001F, which Python takes for white space and the vocabularies do not, go to the library whole.
+word once. Texts with U+001C to U+001F, which Python takes for white space and the vocabularies do not, go to the library whole, and so do texts that may
+hold the string of a special token, which the library gives one id.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -22,12 +24,18 @@ _WITH_SPACE = re.compile(r"\s*\S+|\s+")
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit integers. Keeps the ids of at most ``limit`` words."""
+    """Ids of texts as little-endian unsigned 32-bit integers. Keeps the ids of words in about ``limit`` bytes, from one task to the next.
 
-    def __init__(self, path: str, spaces: bool, limit: int = 600_000):
+    When they are full, the half that was met first stays: frequent words are met early.
+    """
+
+    ENTRY = 200  # bytes of an entry besides its word
+
+    def __init__(self, path: str, spaces: bool, limit: int = 48 << 20):
         self.known: dict[str, bytes] = {}
+        self.held = 0
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # the strings of special tokens are ordinary text
+        self.marks = {token.content[:2].lower() for token in self.tokenizer.get_added_tokens_decoder().values() if token.content}
         self.spaces, self.limit = spaces, limit
         self.words = _WITH_SPACE.findall if spaces else str.split
         vocabulary = self.tokenizer.get_vocab()
@@ -35,10 +43,6 @@ class Encoder:
         for token, number in vocabulary.items():
             self.bytes_of[number] = len(token.removesuffix(_WORD_END))
 
-    def forget(self) -> None:
-        """Frees what was kept, at the end of a task: the worker may next do something else."""
-        self.known.clear()
-
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -68,19 +72,30 @@ class Encoder:
         for word, coded in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             self.known[word] = np.array(coded.ids, "<u4").tobytes()
 
+    def _make_room(self, words: set[str]) -> set[str]:
+        """The words that are not known, after the later half was dropped if they have no room."""
+        size = sum(self.ENTRY + 3 * len(w) for w in words)
+        if self.held + size > self.limit:
+            self.known = dict(islice(self.known.items(), len(self.known) // 2 if size < self.limit else 0))
+            self.held = sum(self.ENTRY + 3 * len(w) for w in self.known)
+        return words
+
+    def _apart(self, text: str) -> bool:
+        low = text.lower()
+        return any(mark in low for mark in self.marks) or _ODD.search(text) is not None
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        split: list[list[str]] = [[] if _ODD.search(t) else self.words(t) for t in texts]
+        split: list[list[str]] = [[] if self._apart(t) else self.words(t) for t in texts]
         out: list[bytes] = []
         for k in range(0, len(texts), 16):
             part = split[k:k + 16]
             found = set().union(*part)
-            new = found.difference(self.known)
-            if len(self.known) + len(new) > self.limit:
-                self.known.clear()
-                new = found
+            new = self._make_room(found.difference(self.known))
             if new:
+                new = found.difference(self.known)
                 self._learn(list(new))
+                self.held += sum(self.ENTRY + 3 * len(w) for w in new)
             out += [b"".join(map(self.known.__getitem__, s)) if s else self.whole(t) for t, s in zip(texts[k:k + 16], part)]
         return out
 
