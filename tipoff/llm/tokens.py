@@ -31,7 +31,7 @@ class Encoder:
 
     ENTRY = 200  # bytes of an entry besides its word
 
-    def __init__(self, path: str, spaces: bool, limit: int = 48 << 20):
+    def __init__(self, path: str, spaces: bool, limit: int = 128 << 20):
         self.known: dict[str, bytes] = {}
         self.held = 0
         self.tokenizer = Tokenizer.from_file(path)
