@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tipoff.ml import metrics, split
 from tipoff.operators.ordered import RANGE, cumulative, numbered, ranged
+from tipoff.operators.relational import as_of
 
 
 @pytest.fixture(scope="module")
@@ -79,3 +80,24 @@ def test_empty_tables(spark, hot):
     assert cumulative(none, ("date",), {"w": F.lit(1)}).count() == 0
     assert split.expanding_folds(none.select("date", "game_id")).count() == 0
     assert metrics.roc_auc(none, "is_win", "proba").first()[0] is None
+
+
+@pytest.mark.parametrize("same_instant", [True, False])
+def test_as_of_sees_the_latest_earlier_row(spark, same_instant):
+    """Entity 1 has nine rows in ten; keys and instants may be NULL, and several rows may share an instant."""
+    rng = random.Random(9)
+    draw = lambda: (1 if rng.random() < 0.9 else rng.choice([2, 3, None]), None if rng.random() < 0.05 else rng.randrange(400))
+    left = [(k, *draw(), "x") for k in range(800)]
+    right = [(*draw(), k, None if k % 11 == 0 else k * 0.5) for k in range(500)]
+
+    def expected(key, at):
+        known = [(t, n, v) for e, t, n, v in right if e == key and t is not None and at is not None and key is not None
+                 and (t <= at if same_instant else t < at)]
+        return max(known, key=lambda r: r[:2])[1:] if known else (None, None)
+
+    out = as_of(spark.createDataFrame(left, "row long, entity int, at long, pts string"), spark.createDataFrame(right, "entity int, at long, n long, value double"),
+                ["entity"], "at", ["n", "value"], ("n",), same_instant)
+    assert out.columns == ["row", "entity", "at", "pts", "n", "value"]
+    assert sorted((r.row, r.n, r.value) for r in out.collect()) == sorted((k, *expected(e, t)) for k, e, t, _ in left)
+    assert as_of(spark.createDataFrame(left, "row long, entity int, at long, pts string"), spark.createDataFrame([], "entity int, at long, n long"),
+                 ["entity"], "at", ["n"]).where("n is null").count() == len(left)

@@ -134,23 +134,29 @@ def numbered(df: DataFrame, order: tuple[str, ...], by: tuple[str, ...] = ()) ->
         *df.columns, (F.col("__at") - F.col("__first")).alias(ORDINAL), TOTAL)
 
 
-def cumulative(df: DataFrame, order: tuple[str, ...], sums: dict[str, Column], totals: dict[str, Column] | None = None,
-               by: tuple[str, ...] = ()) -> DataFrame:
-    """Add sums over the rows strictly before each one in ``order`` among those with the same ``by``, and sums over all of these."""
-    totals = totals or {}
+def cumulative(df: DataFrame, order: tuple[str, ...], sums: dict[str, Column] | None = None, totals: dict[str, Column] | None = None,
+               by: tuple[str, ...] = (), lasts: dict[str, Column] | None = None) -> DataFrame:
+    """Add values of the rows strictly before each one in ``order`` among those with the same ``by``: sums, latest non-NULL values
+    (``lasts``), and sums over all of these rows (``totals``)."""
+    sums, totals, lasts = sums or {}, totals or {}, lasts or {}
     rows = ranged(df, (*by, *order)).withColumn("__by", F.struct(F.lit(0).alias("k"), *by))
     inside = Window.partitionBy(RANGE, "__by").orderBy(PLACE).rowsBetween(UNBOUNDED, -1)
     parts = rows.groupBy("__by", RANGE).agg(*[F.sum(e).alias(f"__c_{n}") for n, e in sums.items()],
-                                            *[F.sum(e).alias(f"__t_{n}") for n, e in totals.items()])
+                                            *[F.max_by(e, F.when(e.isNotNull(), F.col(PLACE))).alias(f"__c_{n}") for n, e in lasts.items()],
+                                            *[F.sum(e).alias(f"__t_{n}") for n, e in totals.items()],
+                                            F.count(F.lit(1)).alias("__n"))
     whole = Window.partitionBy("__by")  # a row for each range
     earlier = whole.orderBy(RANGE).rowsBetween(UNBOUNDED, -1)
     offsets = parts.select("__by", RANGE, *[F.sum(f"__c_{n}").over(earlier).alias(f"__off_{n}") for n in sums],
+                           *[F.last(f"__c_{n}", ignorenulls=True).over(earlier).alias(f"__off_{n}") for n in lasts],
                            *[F.sum(f"__t_{n}").over(whole).alias(f"__tot_{n}") for n in totals])
-    within = rows.select("*", *[F.sum(e).over(inside).alias(f"__in_{n}") for n, e in sums.items()])
+    within = rows.select("*", *[F.sum(e).over(inside).alias(f"__in_{n}") for n, e in sums.items()],
+                         *[F.last(e, ignorenulls=True).over(inside).alias(f"__in_{n}") for n, e in lasts.items()])
     zero = F.lit(0)
     return within.join(offsets, [RANGE, "__by"]).select(
         *df.columns,
         *[(F.coalesce(F.col(f"__in_{n}"), zero) + F.coalesce(F.col(f"__off_{n}"), zero)).alias(n) for n in sums],
+        *[F.coalesce(F.col(f"__in_{n}"), F.col(f"__off_{n}")).alias(n) for n in lasts],
         *[F.col(f"__tot_{n}").alias(n) for n in totals])
 
 

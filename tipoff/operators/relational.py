@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tipoff.operators.ordered import cumulative
 from tipoff.operators.views import home_guest_sides
 
 
@@ -45,6 +46,26 @@ def latest_per(df: DataFrame, keys: list[str], order: list[str], columns: list[s
     return df.groupBy(*keys).agg(last).select(*keys, "__last.*")
 
 
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, columns: list[str], order: tuple[str, ...] = (), same_instant: bool = True) -> DataFrame:
+    """Every row of ``left`` with ``columns`` of the latest row of ``right`` with the same ``keys`` whose ``at`` is not later.
+
+    Without ``same_instant`` it must be earlier. ``order`` decides between rows of ``right`` at one instant: the last one is seen. Both sides lie in one order
+    of (keys, instant), dealt out by ranges; a range takes the last row of the ranges before it along. So a key with most of the rows is spread over many tasks. What has no
+    earlier row, a NULL key or a NULL instant has NULL columns; instants of ``right`` that are NULL are never seen.
+    """
+    held = F.struct(*[F.col(c).alias(f"r{k}") for k, c in enumerate(columns)])
+    seen = right.where(F.col(at).isNotNull()).select(
+        *keys, F.col(at), F.lit(0 if same_instant else 1).alias("__side"), *[F.col(c).alias(f"__o{k}") for k, c in enumerate(order)],
+        held.alias("__held"))
+    asking = left.select(*keys, F.col(at), F.lit(1 if same_instant else 0).alias("__side"), F.struct("*").alias("__row"))
+    both = asking.unionByName(seen, allowMissingColumns=True)
+    found = cumulative(both, (at, "__side", *[f"__o{k}" for k in range(len(order))]), lasts={"__seen": F.col("__held")}, by=tuple(keys))
+    known = F.col(at).isNotNull()
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    return found.where("__row is not null").select("__row.*", *[F.when(known, F.col(f"__seen.r{k}")).alias(c) for k, c in enumerate(columns)])
+
+
 def keyed_on_values(basic: DataFrame, advanced: DataFrame, keys: list[str]) -> DataFrame:
     """Inner join on a natural key that may hold NULLs; a NULL key never matches."""
     return basic.join(advanced, keys)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tipoff import fixtures as fx
 from tipoff.fixtures import with_sql
-from tipoff.operators import ratings
+from tipoff.operators import ratings, relational
 from tipoff.queries.base import query, rounded, sql_round
 
 #: Customers of a league: leagues grow in number with the data, their games do not.
@@ -74,3 +74,17 @@ def e03(spark, sf_dir):
     games = league_games(spark, sf_dir)
     known = ratings.elo(games).where("date < date '2001-04-01'")
     return rounded(ratings.elo_update(games.where(F.col("pts_home").isNotNull()), known))
+
+
+@query("j10_elo_as_of", _CARRIED + f""", side as (
+        select g.game_id, cast({_LEAGUE} as bigint) as league, g.date, g.home_team as team_id from games g join orders on o_orderkey = g.game_id
+        union all select g.game_id, cast({_LEAGUE} as bigint), g.date, g.guest_team from games g join orders on o_orderkey = g.game_id),
+    daily as (select league, team_id, date, max_by(elo_after, game_id) as elo_after, max(game_id) as seen_in from rated group by league, team_id, date)
+    select side.game_id, side.league, side.date, cast(side.team_id as int) as team_id, {sql_round('elo_after', 'elo_after')}, seen_in
+    from side asof left join daily on daily.league = side.league and daily.team_id = side.team_id and daily.date < side.date""")
+def j10_elo(spark, sf_dir):
+    """Every game's teams, played or not, with their rating after their last game before that day."""
+    games = league_games(spark, sf_dir)
+    sides = [games.select("game_id", "league", "date", F.col(f"{side}_team").alias("team_id")) for side in ("home", "guest")]
+    rated = ratings.elo(games).select("league", "team_id", "date", "elo_after", "game_id", F.col("game_id").alias("seen_in"))
+    return rounded(relational.as_of(sides[0].unionByName(sides[1]), rated, ["league", "team_id"], "date", ["elo_after", "seen_in"], ("game_id",), same_instant=False))

@@ -110,6 +110,18 @@ def j10(spark, sf_dir):
     return todo.join(latest, "home_team")
 
 
+@query("j10_player_form_as_of", with_sql("player_box", """select b.player_id, b.game_id, b.date, s.m.g as seen_in, s.m.p as pts
+    from (select player_id, game_id, date - 30 as date from player_box) b
+    asof left join (select player_id, date, max(struct_pack(g := game_id, p := pts)) as m from player_box group by player_id, date) s
+    on s.player_id = b.player_id and s.date <= b.date"""))
+def j10_player(spark, sf_dir):
+    """What was known of each player thirty days before each of their games."""
+    box = fx.player_box(spark, sf_dir)
+    instants = box.select("player_id", "game_id", F.date_sub("date", 30).alias("date"))
+    known = box.select("player_id", "date", "pts", F.col("game_id").alias("seen_in"))
+    return R.as_of(instants, known, ["player_id"], "date", ["seen_in", "pts"], ("seen_in", "pts"))
+
+
 @query("k01_global_sort", with_sql("sched", "select game_id, date, home_team from sched order by date, home_team, game_id"))
 def k01(spark, sf_dir):
     return fx.sched(spark, sf_dir).select("game_id", "date", "home_team").orderBy("date", "home_team", "game_id")
