@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tipoff import fixtures as fx
 from tipoff.fixtures import with_sql
 from tipoff.queries.base import query, rounded
-from tipoff.queries.rating import league_games
+from tipoff.queries.rating import _CARRIED, _SHOWN, league_games
 from tipoff.queries.sources import _URL, _schedule
 from tipoff.queries.windows import earlier
 from tipoff.session import new_path, written
@@ -29,18 +29,26 @@ def deliver(spark, df, name: str, period: str, start) -> object:
     return run
 
 
-@query("st01_elo_stream")
+@query("st01_elo_stream", _CARRIED + f"select {_SHOWN} from rated")
 def st01(spark, sf_dir):
+    """Seasons arrive one after the other; one game in seven comes with the next season, one in eleven twice, and each delivery is shuffled."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     games = league_games(spark, sf_dir).where(F.col("pts_home").isNotNull())
     root = new_path(spark, "elo-stream")
+    on_time, late = F.col("season_id"), F.col("season_id") + 1
+    waves = F.when(F.col("game_id") % 7 == 0, F.array(late)).when(F.col("game_id") % 11 == 0, F.array(on_time, late)).otherwise(F.array(on_time))
+    arriving = games.select("*", F.explode(waves).alias("arrives")).orderBy(F.xxhash64("game_id"))
+    last = games.agg(F.max("season_id").alias("season_id")).select(  # a game to come, by which all before it are released
+        F.lit(None).cast("bigint").alias("league"), F.lit(-1).cast("bigint").alias("game_id"), F.expr("make_date(season_id + 20, 1, 1)").alias("date"),
+        "season_id", *[F.lit(None).cast(games.schema[c].dataType).alias(c) for c in ("home_team", "guest_team", "pts_home", "pts_guest")],
+        (F.col("season_id") + 2).alias("arrives"))
 
     def start(stream):
-        sink = ratings.elo_stream(stream).writeStream.format("parquet").outputMode("append")
+        sink = ratings.elo_stream(stream.drop("arrives"), delay="800 days").writeStream.format("parquet").outputMode("append")
         return sink.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start(f"{root}/rated")
 
-    deliver(spark, written(games, "games"), "arriving-games", "season_id", start)
-    return rounded(spark.read.parquet(f"{root}/rated").drop("league"))
+    deliver(spark, written(arriving.unionByName(last), "games"), "arriving-games", "arrives", start)
+    return rounded(spark.read.parquet(f"{root}/rated"))
 
 
 def _seen_before(outcome: str) -> str:
