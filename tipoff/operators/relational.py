@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tipoff.operators.ordered import cumulative
-from tipoff.operators.views import home_guest_sides
 
 
 def with_venue_and_phase(games: DataFrame, location: DataFrame, playoffs: DataFrame) -> DataFrame:
@@ -26,20 +25,12 @@ def remaining(schedule: DataFrame, boxscore: DataFrame) -> DataFrame:
 def upcoming_games(schedule: DataFrame, boxscore: DataFrame) -> DataFrame:
     """Remaining games that are the next remaining game of both of their teams."""
     todo = remaining(schedule, boxscore)
-    when = F.struct("date", "game_id")
-    first = home_guest_sides(todo).join(todo.select("game_id", "date"), "game_id").groupBy("team").agg(
-        F.min(when).alias("next"))
+    sides = todo.select("game_id", "date", F.explode(F.array("home_team", "guest_team")).alias("team"))
+    first = sides.groupBy("team").agg(F.min(F.struct("date", "game_id")).alias("next"))
     both = first.groupBy(F.col("next.game_id").alias("game_id")).agg(F.count(F.lit(1)).alias("n")).where("n = 2")
     return todo.join(both.select("game_id"), "game_id", "left_semi")
 
 
-def next_game_per_team(todo: DataFrame) -> DataFrame:
-    """First remaining game of each team."""
-    sides = home_guest_sides(todo).join(todo.select("game_id", "date"), "game_id")
-    return sides.groupBy("team").agg(
-        F.min(F.struct("date", "game_id")).alias("next")).select("team", F.col("next.game_id").alias("game_id"))
-
-
 def latest_per(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
     """Each key's last row on a total order, found by partial aggregation (no sort, no hot task)."""
     last = F.max_by(F.struct(*columns), F.struct(*order)).alias("__last")

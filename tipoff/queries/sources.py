@@ -153,5 +153,5 @@ def _pages(spark, sf_dir):
 @query("s15_stat_tables", with_sql("player_box", """select game_id as page_id, cast(player_id as varchar) as player_id,
     'Player ' || player_id as player_name, mp + 0.5 as mp, pts, fg, plus_minus from player_box"""))
 def s15(spark, sf_dir):
-    cells = landed.stat_table(_pages(spark, sf_dir), "box-game-basic")
-    return rounded(landed.typed_players(landed.wide_stats(cells, "tbody", _SHOWN), _SHOWN))
+    rows = landed.table_rows(_pages(spark, sf_dir), "box-game-basic")
+    return rounded(landed.typed_players(landed.wide_stats(rows, "tbody", _SHOWN), _SHOWN))

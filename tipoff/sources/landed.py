@@ -26,12 +26,11 @@ def player_id(href: Column) -> Column:
     return F.element_at(F.split(last, r"\.html"), 1)
 
 
-def stat_table(pages: DataFrame, table_id: str, html: str = "html") -> DataFrame:
-    """Cells of one stat table as (page_id, section, row, row_id, row_name, stat, text).
+def table_rows(pages: DataFrame, table_id: str, html: str = "html") -> DataFrame:
+    """Rows of one stat table as (page_id, section, row, row_id, row_name, names, texts).
 
     The stat names come from the second header row (``data-stat`` of all but its first cell); ``section`` is
-    ``tbody`` for players or ``tfoot`` for the team totals. Header rows repeated in the body have no data
-    cells and vanish.
+    ``tbody`` for players or ``tfoot`` for the team totals. Header rows repeated in the body have no texts.
     """
     def inside(text: Column, tag: str) -> Column:
         return F.regexp_extract(text, rf"(?s)<{tag}[^>]*>(.*?)</{tag}>", 1)
@@ -46,21 +45,27 @@ def stat_table(pages: DataFrame, table_id: str, html: str = "html") -> DataFrame
         for s in ("tbody", "tfoot")]))
     rows = table.select("page_id", F.slice(names, 2, F.size(names)).alias("names"), sections.alias("s")).select(
         "page_id", "names", "s.section", F.posexplode("s.rows").alias("row", "cells"))
-    cells = rows.select(
-        "page_id", "section", "row", "names",
+    plain = lambda text: F.trim(F.regexp_replace(text, "<[^>]*>", ""))
+    return rows.select(
+        "page_id", "section", "row",
         F.regexp_extract("cells", r'<th[^>]*data-append-csv="([^"]*)"', 1).alias("row_id"),
-        F.trim(F.regexp_replace(F.regexp_extract("cells", r"(?s)<th[^>]*>(.*?)</th>", 1), "<[^>]*>", "")).alias("row_name"),
-        F.posexplode(F.regexp_extract_all("cells", F.lit(r"(?s)<td[^>]*>(.*?)</td>"), 1)).alias("col", "cell"))
+        plain(F.regexp_extract("cells", r"(?s)<th[^>]*>(.*?)</th>", 1)).alias("row_name"), "names",
+        F.transform(F.regexp_extract_all("cells", F.lit(r"(?s)<td[^>]*>(.*?)</td>"), 1), plain).alias("texts"))
+
+
+def stat_table(pages: DataFrame, table_id: str, html: str = "html") -> DataFrame:
+    """Cells of one stat table as (page_id, section, row, row_id, row_name, stat, text)."""
+    cells = table_rows(pages, table_id, html).select("page_id", "section", "row", "row_id", "row_name", "names", F.posexplode("texts").alias("col", "text"))
     return cells.where(F.col("col") < F.size("names")).select(
-        "page_id", "section", "row", "row_id", "row_name",
-        F.element_at("names", F.col("col") + 1).alias("stat"),
-        F.trim(F.regexp_replace("cell", "<[^>]*>", "")).alias("text"))
+        "page_id", "section", "row", "row_id", "row_name", F.element_at("names", F.col("col") + 1).alias("stat"), "text")
 
 
-def wide_stats(cells: DataFrame, section: str, stats: list[str]) -> DataFrame:
-    """One row per table row with the named stats as text columns."""
-    return cells.where(F.col("section") == section).groupBy("page_id", "row", "row_id", "row_name").pivot(
-        "stat", stats).agg(F.max("text"))
+def wide_stats(rows: DataFrame, section: str, stats: list[str]) -> DataFrame:
+    """The table rows of a section with the named stats as text columns, NULL where the row has no such cell. Each row is
+    read by itself, so nothing is shuffled; of several columns with one name the first counts."""
+    place = lambda stat: F.array_position("names", F.lit(stat)).cast("int")
+    cell = lambda stat: F.when(place(stat) > 0, F.get("texts", place(stat) - 1)).alias(stat)
+    return rows.where((F.col("section") == section) & (F.size("texts") > 0)).select("page_id", "row", "row_id", "row_name", *map(cell, stats))
 
 
 def typed_players(rows: DataFrame, stats: list[str]) -> DataFrame:
