@@ -19,6 +19,7 @@ def test_ids_equal_those_of_whole_texts(path, spaces):
     plain = Tokenizer.from_file(path)
     rng = random.Random(1)
     texts = TEXTS + ["".join(rng.choices("ab 1'.\n\tüΣ ", k=60)) for _ in range(300)]
+    texts += ["".join(rng.choices(["a", "B", "ü", "́", "1", "'s", ".", ",", "?!", ";", " ", "  ", "\n", "日", "ª", "…"], k=40)) for _ in range(1000)]
     for limit in (50, 3_000, 1_000_000):
         found = Encoder(path, spaces, limit).encode(texts)
         assert [np.frombuffer(f, "<u4").tolist() for f in found] == [plain.encode(t, add_special_tokens=False).ids for t in texts]

@@ -3,7 +3,7 @@
 Both vocabularies used here cut a text before every run of white space that follows other characters, and encode the parts
 on their own. So a text's ids are the ids of its words one after another, and the library only has to see each
 word once. Texts with U+001C to U+001F, which Python takes for white space and the vocabularies do not, go to the library whole, and so do texts that may
-hold the string of a special token, which the library gives one id.
+hold the string of a special token, which the library gives one id. Both also cut between a letter and the stops behind it, so "word," has the ids of "word" and of ",".
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the
 
 _ODD = re.compile("[\x1c-\x1f]")
 _WORD_END = "</w>"  # how the vocabulary of words marks an id that ends a word
+_STOPS = ".,;:!?"
 _WITH_SPACE = re.compile(r"\s*\S+|\s+")
 
 
@@ -36,6 +37,7 @@ class Encoder:
         self.held = 0
         self.tokenizer = Tokenizer.from_file(path)
         self.marks = {token.content[:2].lower() for token in self.tokenizer.get_added_tokens_decoder().values() if token.content}
+        self.cased = any(mark.upper() != mark for mark in self.marks)  # none of the vocabularies used here: their strings begin with two signs
         self.spaces, self.limit = spaces, limit
         self.words = _WITH_SPACE.findall if spaces else str.split
         vocabulary = self.tokenizer.get_vocab()
@@ -72,16 +74,15 @@ class Encoder:
         for word, coded in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             self.known[word] = np.array(coded.ids, "<u4").tobytes()
 
-    def _make_room(self, words: set[str]) -> set[str]:
-        """The words that are not known, after the later half was dropped if they have no room."""
-        size = sum(self.ENTRY + 3 * len(w) for w in words)
+    def _make_room(self, words: set[str]) -> None:
+        """Drops the later half of what is known, if the words have no room."""
+        size = sum(map(len, words)) * 3 + self.ENTRY * len(words)
         if self.held + size > self.limit:
             self.known = dict(islice(self.known.items(), len(self.known) // 2 if size < self.limit else 0))
-            self.held = sum(self.ENTRY + 3 * len(w) for w in self.known)
-        return words
+            self.held = sum(map(len, self.known)) * 3 + self.ENTRY * len(self.known)
 
     def _apart(self, text: str) -> bool:
-        low = text.lower()
+        low = text.lower() if self.cased else text
         return any(mark in low for mark in self.marks) or _ODD.search(text) is not None
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -90,13 +91,20 @@ class Encoder:
         out: list[bytes] = []
         for k in range(0, len(texts), 16):
             part = split[k:k + 16]
-            found = set().union(*part)
-            new = self._make_room(found.difference(self.known))
+            found = [list(map(self.known.get, words)) for words in part]
+            new = {w for words, ids in zip(part, found) if None in ids for w, i in zip(words, ids) if i is None}
             if new:
-                new = found.difference(self.known)
-                self._learn(list(new))
-                self.held += sum(self.ENTRY + 3 * len(w) for w in new)
-            out += [b"".join(map(self.known.__getitem__, s)) if s else self.whole(t) for t, s in zip(texts[k:k + 16], part)]
+                stopped = [(w, stem, w[len(stem):]) for w in new if w[-1] in _STOPS and (stem := w.rstrip(_STOPS)) and stem[-1].isalpha()]
+                new.update(part for _, *parts in stopped for part in parts)
+                self._make_room(new)
+                whole = new.difference(self.known).difference(w for w, _, _ in stopped)
+                self._learn(list(whole))
+                for word, stem, stops in stopped:
+                    self.known[word] = self.known[stem] + self.known[stops]
+                self.held += sum(map(len, new)) * 3 + self.ENTRY * len(new)
+                # ids found above stay good, though their words may have made room
+                found = [[self.known[w] if i is None else i for w, i in zip(words, ids)] if None in ids else ids for words, ids in zip(part, found)]
+            out += [b"".join(ids) if ids else self.whole(t) for t, ids in zip(texts[k:k + 16], found)]
         return out
 
 
