@@ -11,7 +11,8 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
-from itertools import islice
+from itertools import compress, islice
+from operator import not_
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -32,7 +33,7 @@ class Encoder:
 
     ENTRY = 200  # bytes of an entry besides its word
 
-    def __init__(self, path: str, spaces: bool, limit: int = 128 << 20):
+    def __init__(self, path: str, spaces: bool, limit: int = 192 << 20):
         self.known: dict[str, bytes] = {}
         self.held = 0
         self.tokenizer = Tokenizer.from_file(path)
@@ -92,7 +93,7 @@ class Encoder:
         for k in range(0, len(texts), 16):
             part = split[k:k + 16]
             found = [list(map(self.known.get, words)) for words in part]
-            new = {w for words, ids in zip(part, found) if None in ids for w, i in zip(words, ids) if i is None}
+            new = set().union(*(compress(words, map(not_, ids)) for words, ids in zip(part, found)))
             if new:
                 stopped = [(w, stem, w[len(stem):]) for w in new if w[-1] in _STOPS and (stem := w.rstrip(_STOPS)) and stem[-1].isalpha()]
                 new.update(part for _, *parts in stopped for part in parts)
