@@ -29,7 +29,7 @@ from tipoff.session import written
 
 UNBOUNDED = Window.unboundedPreceding
 ORDINAL, TOTAL, BLOCK, HOME, PLACE = "ordinal", "entity_rows", "__block", "__home", "__place"
-RANGE, TIE, _IN_RANGE = "__range", "__tie", (1 << 33) - 1
+FIRST, RANGE, TIE, _IN_RANGE = "__first", "__range", "__tie", (1 << 33) - 1
 
 
 @dataclass(frozen=True)
@@ -64,39 +64,42 @@ def running(
     Rows with a NULL key or chunk stay: NULL is a key like any other, and a NULL chunk comes before all others.
     """
     sums, lasts, totals = sums or {}, lasts or {}, totals or {}
-    # one struct as the key: unlike its NULL fields, it is never NULL itself, so the join loses no row
-    place = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate((*line.keys, line.chunk))])
-    keys = [F.col(f"{PLACE}.k{i}") for i in range(len(line.keys))]
-    inside = Window.partitionBy(PLACE).orderBy(*line.order).rowsBetween(UNBOUNDED, -1)
+    inside = Window.partitionBy(*line.keys, line.chunk).orderBy(FIRST, *line.order).rowsBetween(UNBOUNDED, -1)
     ticket = F.struct(*line.order)
 
-    placed = df.withColumn(PLACE, place)
-    rows = placed.select(
-        "*",
-        *[F.sum(e).over(inside).alias(f"__in_{n}") for n, e in sums.items()],
-        *[F.last(e, ignorenulls=True).over(inside).alias(f"__in_{n}") for n, e in lasts.items()],
+    rows = df.select(
+        "*", F.lit(1).alias(FIRST),
+        *[e.alias(f"__e_{n}") for n, e in (*sums.items(), *lasts.items())],
     )
-    per_chunk = placed.groupBy(PLACE).agg(
+    per_chunk = df.groupBy(*line.keys, line.chunk).agg(
         *[F.sum(e).alias(f"__c_{n}") for n, e in sums.items()],
         *[F.max_by(e, F.when(e.isNotNull(), ticket)).alias(f"__c_{n}") for n, e in lasts.items()],
         *[F.sum(e).alias(f"__t_{n}") for n, e in totals.items()],
         F.count(F.lit(1)).alias("__rows"),
     )
-    earlier = Window.partitionBy(*keys).orderBy(F.col(f"{PLACE}.k{len(keys)}")).rowsBetween(UNBOUNDED, -1)
-    whole = Window.partitionBy(*keys)
+    earlier = Window.partitionBy(*line.keys).orderBy(line.chunk).rowsBetween(UNBOUNDED, -1)
+    whole = Window.partitionBy(*line.keys)
     offsets = per_chunk.select(
-        PLACE,
+        *line.keys, line.chunk, F.lit(0).alias(FIRST),
         *[F.sum(f"__c_{n}").over(earlier).alias(f"__off_{n}") for n in sums],
         *[F.last(f"__c_{n}", ignorenulls=True).over(earlier).alias(f"__off_{n}") for n in lasts],
         *[F.sum(f"__t_{n}").over(whole).alias(f"__tot_{n}") for n in totals],
     )
-    joined = rows.join(offsets, PLACE)
+    # a chunk's offset goes ahead of its rows in one window: NULL keys need no join, and the keys' partitioning is kept for the next step
+    both = rows.unionByName(offsets, allowMissingColumns=True)
+    found = both.select(
+        "*",
+        *[F.sum(f"__e_{n}").over(inside).alias(f"__in_{n}") for n in sums],
+        *[F.last(f"__e_{n}", ignorenulls=True).over(inside).alias(f"__in_{n}") for n in lasts],
+        *[F.first(f"__off_{n}").over(inside).alias(f"__at_{n}") for n in (*sums, *lasts)],
+        *[F.first(f"__tot_{n}").over(inside).alias(f"__all_{n}") for n in totals],
+    ).where(F.col(FIRST) == 1)
     zero = F.lit(0)
-    return joined.select(
+    return found.select(
         *df.columns,
-        *[(F.coalesce(F.col(f"__in_{n}"), zero) + F.coalesce(F.col(f"__off_{n}"), zero)).alias(n) for n in sums],
-        *[F.coalesce(F.col(f"__in_{n}"), F.col(f"__off_{n}")).alias(n) for n in lasts],
-        *[F.col(f"__tot_{n}").alias(n) for n in totals],
+        *[(F.coalesce(F.col(f"__in_{n}"), zero) + F.coalesce(F.col(f"__at_{n}"), zero)).alias(n) for n in sums],
+        *[F.coalesce(F.col(f"__in_{n}"), F.col(f"__at_{n}")).alias(n) for n in lasts],
+        *[F.col(f"__all_{n}").alias(n) for n in totals],
     )
 
 
