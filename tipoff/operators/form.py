@@ -311,9 +311,9 @@ def team_columns(windows=WINDOWS) -> list[str]:
 
 
 def team_form(rows: DataFrame, windows=WINDOWS, impute: bool = True, line: Timeline = TEAM_SEASON,
-              size: int | None = None) -> DataFrame:
-    """All pre-game team features, one row per (game, team); ``rows`` come from ``derived_box``."""
-    carried = ["game_id", "date", *line.keys, "is_win", "has_won_last_game",
+              size: int | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """All pre-game team features, one row per (game, team); ``rows`` come from ``derived_box``, and keep the columns ``also``."""
+    carried = ["game_id", "date", *line.keys, *also, "is_win", "has_won_last_game",
                "current_winning_streak", "current_losing_streak"]
     rows = streaks(rows, line).select(*carried, ORDINAL, TOTAL, *TEAM_STATS)
     windows = tuple(windows)

@@ -88,5 +88,24 @@ def attach_roles(games: DataFrame, features: DataFrame, team_key: str = "team")
     return out
 
 
+def with_side(features: DataFrame, games: DataFrame, team_key: str = "team") -> DataFrame:
+    """Team-game features with the ``side`` that their team had in the game; rows of teams that were not in it go."""
+    sides = team_rows(games, ["game_id"]).select("game_id", F.col("team").alias(team_key), "side")
+    return features.join(sides, ["game_id", team_key])
+
+
+def attach_sides(games: DataFrame, features: DataFrame, team_key: str = "team") -> DataFrame:
+    """Join team-game features that carry ``side`` twice, as ``*_home`` and as ``*_guest``, on ``game_id``.
+
+    With this one key the wide frame stays where it is, partitioned by ``game_id``, whatever number of blocks is attached.
+    """
+    out = games
+    for side in ("home", "guest"):
+        role = features.where(F.col("side") == side).select(
+            "game_id", *[F.col(c).alias(f"{c}_{side}") for c in features.columns if c not in ("game_id", "side", team_key)])
+        out = out.join(role, "game_id", "left")
+    return out
+
+
 def win_share(wins: str, played: str) -> Column:
     return ratio(wins, played)

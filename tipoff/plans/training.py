@@ -42,7 +42,7 @@ def schedule_features(games: DataFrame) -> DataFrame:
 
 def team_block(games: DataFrame, impute: bool = True) -> DataFrame:
     rows = views.derived_box(views.team_boxscores(games, TEAM_OWN))
-    return form.team_form(rows, impute=impute).drop("date", "season_id", "is_win")
+    return form.team_form(rows, impute=impute, also=("side",)).drop("date", "season_id", "is_win")
 
 
 def elo_block(rated: DataFrame) -> DataFrame:
@@ -53,19 +53,19 @@ def elo_block(rated: DataFrame) -> DataFrame:
 
 def training_frame(games: DataFrame, player_box: DataFrame | None, rated: DataFrame, impute: bool = True,
                    top_n: int = 10) -> DataFrame:
-    """All blocks joined on (game_id, team). Seasons are computed together; every window has the season in its key.
+    """All blocks, each row with its side, joined on ``game_id`` alone: the frame is shuffled once. Seasons are computed together; every window has the season in its key.
 
     The wide blocks are written once each: both roles read them, and column pruning then reaches into the
     files when only some features are wanted.
     """
     played = written(games.where(F.col("pts_home").isNotNull() & F.col("pts_guest").isNotNull()), "played")
     frame = schedule_features(played)
-    frame = views.attach_roles(frame, written(team_block(played, impute), "team-form"))
+    frame = views.attach_sides(frame, written(team_block(played, impute), "team-form"))
     if player_box is not None:
         players = form.player_form(written(player_box, "player-box"), impute=impute)
-        expected = written(lineup.expected_team_stats(written(players, "player-form"), top_n), "expected")
-        frame = views.attach_roles(frame, expected, "team_id")
-    return views.attach_roles(frame, written(elo_block(rated), "elo"))
+        expected = lineup.expected_team_stats(written(players, "player-form"), top_n)
+        frame = views.attach_sides(frame, written(views.with_side(expected, played, "team_id"), "expected"), "team_id")
+    return views.attach_sides(frame, written(views.with_side(elo_block(rated), played), "elo"))
 
 
 def feature_columns(frame: DataFrame, drop_previous: bool = True) -> list[str]:

@@ -31,7 +31,7 @@ def upcoming_frame(games: DataFrame, player_box: DataFrame, rated: DataFrame, ro
     frame = schedule_features(season).join(coming.select("game_id"), "game_id", "left_semi")
     teams = views.home_guest_sides(coming).select("game_id", "team")
     blocks = written(team_block(season).join(teams, ["game_id", "team"], "left_semi"), "team-form")
-    frame = views.attach_roles(frame, blocks)
+    frame = views.attach_sides(frame, blocks)
 
     players = form.player_form(written(player_box.join(newest, "season_id", "left_semi"), "player-box"))
     squads = roster.join(teams.select(F.col("team").alias("team_id")).distinct(), "team_id", "left_semi")  # before subsets are made

@@ -31,18 +31,18 @@ NUDGE = 1 + 1e-11
 LARGE, LARGE_DIGITS = 1000, 2
 
 
-def rounded(df: DataFrame, digits: int = DIGITS, nudge: bool = False) -> DataFrame:
+def rounded(df: DataFrame, digits: int = DIGITS, nudge: bool | frozenset[str] = False) -> DataFrame:
     """All doubles at a fixed number of decimals, as the oracle rounds them.
 
     ``nudge`` is for quotients. They often end in an exact 5 one place further, so ties are moved off the
     edge on both sides, where the last bit of a double would otherwise decide; and a quotient by a value
-    close to zero is large with few exact decimals, so large values keep two.
+    close to zero is large with few exact decimals, so large values keep two. It may name the quotients.
     """
     if not CHECKING:
         return df
 
     def fixed(name):
-        if not nudge:
+        if nudge is False or nudge is not True and name not in nudge:
             return F.round(name, digits).alias(name)
         value = F.col(name) * NUDGE
         return F.when(F.abs(value) >= LARGE, F.round(value, LARGE_DIGITS)).otherwise(F.round(value, digits)).alias(name)

@@ -6,10 +6,10 @@ from tipoff import fixtures as fx
 from tipoff.fixtures import with_sql
 from tipoff.operators import ratings
 from tipoff.plans import training, upcoming
-from tipoff.queries.base import query, rounded, sql_round
+from tipoff.queries.base import ORACLES, query, rounded, sql_round
 from tipoff.queries.lineups import NAMES, _shown, exp_ctes
-from tipoff.queries.rating import league_games
-from tipoff.queries.windows import sql_player_form, sql_team_form
+from tipoff.queries.rating import _CARRIED, league_games
+from tipoff.queries.windows import _TF, sql_player_form, sql_team_form
 
 # what SQL can rebuild of the selected features (ratings are sequential)
 _SQL_SELECTED = [c for c in training.SELECTED_FEATURES if not c.startswith("elo_") and c != "is_b2b_guest"]
@@ -54,6 +54,45 @@ def f01_selected(spark, sf_dir):
         "game_id", "date", "home_team", "guest_team", "is_home_win", *wanted), nudge=True)
 
 
+_STREAKS = ["has_won_last_game", "current_winning_streak", "current_losing_streak"]
+_ELO = ["elo", "elo_change_7_absolute", "elo_change_7_relative"]
+_QUOTIENTS = frozenset(f"{c}_{side}" for c in [*_TF, *NAMES] for side in ("home", "guest"))
+
+
+def _played(name: str) -> str:
+    """The SQL of a single block, over played games only."""
+    return ORACLES[name].replace("from sched s left join box b", "from sched s join box b")
+
+
+def _whole_frame_sql() -> str:
+    games = {k: f"({_played(name)})" for k, name in {
+        "b1": "w01_overall_win_pct", "b2": "w02_location_win_pct", "b3": "w03_head_to_head", "b4": "w13_travel", "b5": "w14_rest_days",
+        "b6": "w16_clutch"}.items()}
+    expected = {**sql_player_form(), **{k: v.replace("place <= 2", "place <= 10") for k, v in exp_ctes().items()}}
+    back = "lag(elo_before, 7) over (partition by league, team_id order by date, game_id)"
+    ctes = {
+        **games, "ph": f"({with_sql('season_games', 'select game_id, is_playoff_game from season_games')})", "tf": f"({_played('w11_team_form')})",
+        "ex": f"({with_sql('player_box', f'select game_id, team_id, {_shown(NAMES)} from ex', expected)})",
+        "el": f"""({_CARRIED} select game_id, team_id, {sql_round('elo_before', 'elo')}, {sql_round(f'elo_before - {back}', _ELO[1])},
+            {sql_round(f'elo_before / {back} - 1', _ELO[2])} from rated)""",
+    }
+    keys, sides = "game_id, date, season_id, home_team, guest_team", []
+    shown = ["b1.*", "is_playoff_game", *[f"{b}.* exclude ({keys}{', is_home_win' if b in ('b2', 'b3') else ''})" for b in list(games)[1:]]]
+    for side in ("home", "guest"):
+        for table, team, columns in (("tf", "team", [*_STREAKS, *_TF]), ("ex", "team_id", NAMES), ("el", "team_id", _ELO)):
+            at = f"{table}_{side}"
+            sides.append(f"left join {table} {at} on {at}.game_id = b1.game_id and {at}.{team} = b1.{side}_team")
+            shown += [f"{at}.{c} as {c}_{side}" for c in columns]
+    return (f"with {', '.join(f'{k} as {v}' for k, v in ctes.items())} select {', '.join(shown)} from b1 join ph on ph.game_id = b1.game_id "
+            + " ".join(f"join {b} on {b}.game_id = b1.game_id" for b in list(games)[1:]) + " " + " ".join(sides))
+
+
+@query("f01_whole_frame", _whole_frame_sql())
+def f01_whole(spark, sf_dir):
+    """Every column of every block."""
+    return rounded(full_frame(spark, sf_dir), nudge=_QUOTIENTS)
+
+
 def coming_frame(spark, sf_dir):
     games = fx.season_games(spark, sf_dir)
     return upcoming.upcoming_frame(games, fx.player_box(spark, sf_dir), ratings.elo(league_games(spark, sf_dir).drop("league")),
@@ -62,5 +101,5 @@ def coming_frame(spark, sf_dir):
 
 @query("r03_upcoming_frame")
 def r03(spark, sf_dir):
-    shown = [c for c in training.SELECTED_FEATURES]
-    return rounded(coming_frame(spark, sf_dir).select("game_id", "home_team", "guest_team", *shown))
+    """Every column of every block, for each pair of scenarios."""
+    return rounded(coming_frame(spark, sf_dir))
