@@ -8,6 +8,7 @@ as a candidate. Candidates are verified with the expression itself.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import product
 from re import _parser as _regex
@@ -47,6 +48,8 @@ RULES = BASE + FURTHER
 
 #: More alternatives than this for a stretch of an expression count as "anything".
 MOST = 64
+#: Spans of a text that are handled together.
+CHUNK = 256
 
 Clause = frozenset[str]
 
@@ -138,17 +141,41 @@ def _matches(rule: Rule, text: Column) -> Column:
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     counted = found if rule.group == 0 else F.regexp_extract_all(text, pattern, F.lit(rule.group))
     parts = F.arrays_zip(between.alias("gap"), found.alias("whole"), counted.alias("part"))
-    parts = F.transform(F.slice(parts, 1, F.size(found)), lambda p: F.struct(
+    parts = F.transform(F.filter(parts, lambda p: p["whole"].isNotNull()), lambda p: F.struct(
         F.length(p["gap"]).alias("gap"), F.length(p["whole"]).alias("n"), (F.length(p["part"]) >= rule.least).alias("kept")))
-    nothing = F.array().cast("array<struct<start:int,end:int,kind:string>>")
-    walked = F.aggregate(
-        parts, F.struct(F.lit(0).alias("at"), nothing.alias("spans")),
-        lambda a, p: F.struct(
-            (a["at"] + p["gap"] + p["n"]).alias("at"),
-            F.when(p["kept"], F.concat(a["spans"], F.array(F.struct(
-                (a["at"] + p["gap"]).alias("start"), (a["at"] + p["gap"] + p["n"]).alias("end"), F.lit(rule.kind).alias("kind")))))
-            .otherwise(a["spans"]).alias("spans")))
-    return walked["spans"]
+
+    def placed(p: Column) -> Column:
+        before = _scanned(F.transform(p, lambda x: x["gap"] + x["n"]), lambda a, b: a + b, 0)
+        spans = F.zip_with(p, before, lambda x, at: F.struct(
+            (at + x["gap"]).alias("start"), (at + x["gap"] + x["n"]).alias("end"), F.lit(rule.kind).alias("kind"), x["kept"].alias("kept")))
+        return F.transform(F.filter(spans, lambda x: x["kept"]), lambda x: F.struct(x["start"], x["end"], x["kind"]))
+
+    return _let(parts, placed)
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _in_chunks(values: Column) -> Column:
+    """The array as an array of arrays of at most ``CHUNK`` entries."""
+    last = F.greatest(F.floor((F.size(values) - 1) / CHUNK).cast("int"), F.lit(0))
+    return F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(values, c * CHUNK + 1, CHUNK))
+
+
+def _scanned(values: Column, combine: Callable[[Column, Column], Column], zero: int) -> Column:
+    """For each whole number, all before it combined. Arrays grow within chunks only, so the work is about ``CHUNK`` steps an entry."""
+
+    def local(part: Column, start: Column) -> Column:
+        return F.aggregate(part, F.struct(start.alias("at"), F.array().cast("array<int>").alias("out")), lambda a, v: F.struct(
+            combine(a["at"], v).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
+
+    def by_chunk(chunks: Column) -> Column:
+        totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(zero), combine))
+        return F.flatten(F.zip_with(chunks, local(totals, F.lit(zero)), local))
+
+    return _let(values, lambda v: _let(_in_chunks(v), by_chunk))
 
 
 def find_secrets(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -189,22 +216,28 @@ def masked(found: DataFrame, mark: str = "[secret]") -> DataFrame:
 
     Overlapping spans become one mark. Documents without spans keep their text and ``n_chars`` as they are.
     """
-    joined = F.aggregate(
-        F.col("spans"), F.array().cast("array<struct<start:int,end:int>>"),
-        lambda out, s: F.when(
-            (F.size(out) > 0) & (F.element_at(out, -1)["end"] >= s["start"]),
-            F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(
-                F.element_at(out, -1)["start"].alias("start"), F.greatest(F.element_at(out, -1)["end"], s["end"]).alias("end")))),
-        ).otherwise(F.concat(out, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))))
     text = F.col("text")
-    spans = fresh("joined", found.columns)
-    ends = F.concat(F.array(F.lit(0)), F.col(spans)["end"])
-    starts = F.concat(F.col(spans)["start"], F.array(F.length(text)))
-    pieces = F.zip_with(ends, starts, lambda a, b: text.substr(a + 1, b - a))
+
+    def pieces_of(spans: Column) -> Column:
+        """What lies between the spans, (start, end): a span that starts behind the ends of all before it ends a piece."""
+        seen = _scanned(spans["end"], lambda a, b: F.greatest(a, b), -1)
+        behind = F.zip_with(spans, seen, lambda s, m: F.struct(F.greatest(m, F.lit(0)).alias("start"), s["start"].alias("end"), (m < s["start"]).alias("open")))
+        inner = F.transform(F.filter(behind, lambda p: p["open"]), lambda p: F.struct(p["start"], p["end"]))
+        return F.concat(inner, F.array(F.struct(F.array_max(spans["end"]).alias("start"), F.length(text).alias("end"))))
+
+    def cut(pieces: Column) -> Column:
+        """A chunk of pieces is cut out of the text at once, its pieces out of that."""
+        def of_chunk(chunk: Column) -> Column:
+            base = F.get(chunk, F.lit(0))["start"]
+            whole = F.struct(base.alias("base"), text.substr(base + 1, F.element_at(chunk, -1)["end"] - base).alias("text"))
+            return _let(whole, lambda w: F.transform(chunk, lambda p: w["text"].substr(p["start"] - w["base"] + 1, p["end"] - p["start"])))
+
+        return F.flatten(F.transform(_in_chunks(pieces), of_chunk))
+
+    new = F.when(F.size("spans") > 0, F.array_join(_let(pieces_of(F.col("spans")), cut), mark)).otherwise(text)
     columns = [c for c in found.columns if c != "spans"]
-    new = F.when(F.size("spans") > 0, F.array_join(pieces, mark)).otherwise(text)
     covered = fresh("masked", found.columns)
-    out = found.withColumn(spans, joined).withColumn(covered, new)
+    out = found.withColumn(covered, new)
 
     def value(c: str) -> Column:
         if c == "text":
