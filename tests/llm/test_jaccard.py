@@ -4,6 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tipoff.llm import jaccard
 from tipoff.llm.components import components
 from tipoff.llm.jaccard import Similarity, near_duplicates, without_near_duplicates
 
@@ -83,3 +84,13 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(1, 60)] + [(1000, k) for k in range(1001, 1200)] + [(5, 5)]
     out = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert out == {k: 1 for k in range(1, 61)} | {k: 1000 for k in range(1000, 1200)}
+
+
+def test_second_product_alone_links_texts_that_share_a_doc_id(spark, monkeypatch):
+    """Two different texts of one doc_id: the columns of one do not hide the links of the other."""
+    first = jaccard._first_pairs
+    monkeypatch.setattr(jaccard, "_first_pairs", lambda *a: first(*a).where("false"))
+    a, b = ([f"{side}{k}" for k in range(100)] for side in "ab")
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (4, " ".join(["x", *a[1:]])), (6, " ".join([*b[:-1], "y"])), (8, " ".join(f"c{k}" for k in range(100)))]
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), Similarity(4, 85))
+    assert sorted((r.doc_id, r.component_id) for r in out.collect()) == [(1, 1), (1, 1), (4, 1), (6, 1), (8, 8)]

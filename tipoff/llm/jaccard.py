@@ -210,8 +210,9 @@ def near_duplicates(documents: DataFrame, rule: Similarity) -> DataFrame:
     grouped = links.select(F.col("b").alias("node"), F.col("a").alias("label"))
     links = links.unionByName(_verified(_first_pairs(classes, grouped, list(range(1, len(ORDERS))), rule), documents, rule))
     grouped = written(components(links), "groups")
-    more = _verified(_cross_pairs(features, classes, grouped, documents, rule, levels), documents, rule)
-    ties = _ties(grouped).unionByName(more).unionByName(_shared_ids(known, classes))
+    several = written(_several(known), "several")
+    more = _verified(_cross_pairs(features, classes, grouped, several, documents, rule, levels), documents, rule)
+    ties = _ties(grouped).unionByName(more).unionByName(_shared_ids(known, classes, several))
     labels = components(ties)
     named = classes.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "sig", F.coalesce("label", "doc_id").alias("component_id"))
@@ -219,9 +220,13 @@ def near_duplicates(documents: DataFrame, rule: Similarity) -> DataFrame:
     return known.join(named, "sig").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
 
 
-def _shared_ids(known: DataFrame, classes: DataFrame) -> DataFrame:
+def _several(known: DataFrame) -> DataFrame:
+    """The doc_ids of texts with different sets."""
+    return known.groupBy("doc_id").agg(F.min("sig").alias("x"), F.max("sig").alias("y")).where("x <> y").select("doc_id")
+
+
+def _shared_ids(known: DataFrame, classes: DataFrame, several: DataFrame) -> DataFrame:
     """Ties between the classes of texts that share a doc_id."""
-    several = known.groupBy("doc_id").agg(F.min("sig").alias("x"), F.max("sig").alias("y")).where("x <> y").select("doc_id")
     ids = known.join(several, "doc_id").select("doc_id", "sig").distinct()
     held = ids.join(classes.select("sig", F.col("doc_id").alias("class_id")), "sig")
     least = held.groupBy("doc_id").agg(F.min("class_id").alias("a"))
@@ -243,7 +248,7 @@ def _first_pairs(classes: DataFrame, grouped: DataFrame, orders: list[int], rule
             .where(rule.sizes_fit("n", "c.n")).select(F.col("c.doc_id").alias("a"), F.col("doc_id").alias("b")))
 
 
-def _cross_pairs(features: DataFrame, classes: DataFrame, grouped: DataFrame, documents: DataFrame, rule: Similarity, levels: bytes) -> DataFrame:
+def _cross_pairs(features: DataFrame, classes: DataFrame, grouped: DataFrame, several: DataFrame, documents: DataFrame, rule: Similarity, levels: bytes) -> DataFrame:
     """Pairs of classes of different groups that can still reach the bound.
 
     First, with columns in the order of the sketch, the classes are found that have enough of their first columns in common with other
@@ -258,11 +263,14 @@ def _cross_pairs(features: DataFrame, classes: DataFrame, grouped: DataFrame, do
     near = written(near.where(F.col("common") >= rule.least_common("n")).drop("common"), "near")
     asked = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     tokens = asked.join(broadcast_if_small(near.select("doc_id").distinct(), 16), "doc_id").mapInArrow(_columns_of(rule), "doc_id long, column long")
-    # a class with several texts of one doc_id counts as one
+    # a column that only the texts of one doc_id have can tie them to no other document
     alone = tokens.groupBy("column").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).where("doc_id = last")
     alone = alone.groupBy("doc_id").agg(F.collect_list("column").alias("alone"))
-    kept = near.join(alone, "doc_id", "left").select("doc_id", "n", "g", F.coalesce("alone", F.array().cast("array<long>")).alias("alone"))
-    kept = written(kept.where((F.col("n") - F.size("alone")) * rule.base >= F.col("n") * rule.share), "alone")
+    # with several texts, these columns are of all of them, and say nothing of how many are left of one
+    mixed = broadcast_if_small(several.withColumn("mixed", F.lit(True)), 16)
+    kept = near.join(alone, "doc_id", "left").join(mixed, "doc_id", "left").select(
+        "doc_id", "n", "g", F.coalesce("alone", F.array().cast("array<long>")).alias("alone"), "mixed")
+    kept = written(kept.where(F.col("mixed") | ((F.col("n") - F.size("alone")) * rule.base >= F.col("n") * rule.share)).drop("mixed"), "alone")
     rows, columns = kept.agg(F.count("*"), F.coalesce(F.sum(F.size("alone")), F.lit(0))).first()
     placed = asked.join(broadcast_if_small(kept, 64, rows + columns // 8), "doc_id").select("doc_id", "n", "g", "alone", "text")
     sent = documents.sparkSession.sparkContext.broadcast(levels)
