@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tipoff.llm.frames import raw_texts
+from tipoff.session import written
 
 WINDOW = 10
 #: Benchmark text that one set of search tables is built from.
@@ -125,7 +126,11 @@ def find_windows(documents: DataFrame, benchmark: DataFrame, text_col: str = "te
     df = kept.select("*", F.lit(0).cast("long").alias("n_words"),
                      F.array().cast("array<struct<start:int,length:int>>").alias("hit_spans"),
                      F.array().cast("array<string>").alias("items"))
+    tables = None
     for items in _chunks(benchmark, item_col, benchmark_text):
+        if tables is not None:  # one chunk's tables are held at a time: what it found is written before the next
+            df = written(df, "searched")
+            tables.destroy()
         tables = documents.sparkSession.sparkContext.broadcast(Searcher(items, window))
         df = _searched(df, tables, text_col)
     return df
