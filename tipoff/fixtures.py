@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from tipoff.functions.scalar import ratio
 
+#: With ``leagues``, a league is made of so many customers and players, so leagues grow in number with the data and squads do not.
+LEAGUE_CUSTOMERS, LEAGUE_PLAYERS, LEAGUE_TEAMS = 15_000, 1_000, 25
+
 BOX_STATS = ["fg", "fga", "fg3", "fg3a", "ft", "fta", "orb", "drb", "ast", "stl", "blk", "tov", "pf"]
 
 
@@ -28,15 +31,22 @@ def _line_stats() -> dict[str, Column]:
     }
 
 
-def sched(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _league_start(key: Column, size: int) -> Column:
+    """Number of the first team in the league that a key, from 0 on, falls into."""
+    return LEAGUE_TEAMS * F.floor(key / size)
+
+
+def sched(spark: SparkSession, sf_dir: str, leagues: bool = False) -> DataFrame:
+    """With ``leagues``, every league has teams of its own; below 15,000 customers there is one."""
     orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     host = F.col("c_nationkey")
+    first = _league_start(F.col("c_custkey"), LEAGUE_CUSTOMERS) if leagues else F.lit(0)
     return orders.join(customer, orders.o_custkey == customer.c_custkey).select(
         F.col("o_orderkey").alias("game_id"),
         F.col("o_orderdate").cast("date").alias("date"),
         F.year("o_orderdate").cast("int").alias("season_id"),
-        host.alias("home_team"),
-        ((host + 1 + F.col("o_orderkey") % 24) % 25).cast("int").alias("guest_team"),
+        (first + host).cast(customer.schema["c_nationkey"].dataType).alias("home_team"),
+        (first + (host + 1 + F.col("o_orderkey") % 24) % 25).cast("int").alias("guest_team"),
         host.alias("arena"),
     )
 
@@ -67,11 +77,11 @@ def box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("*", *rates)
 
 
-def games(spark: SparkSession, sf_dir: str) -> DataFrame:
+def games(spark: SparkSession, sf_dir: str, leagues: bool = False) -> DataFrame:
     """Schedule left join box score; ``is_home_win`` is NULL while a game is unplayed."""
     from tipoff.functions.scalar import home_win
 
-    joined = sched(spark, sf_dir).join(box(spark, sf_dir), "game_id", "left")
+    joined = sched(spark, sf_dir, leagues).join(box(spark, sf_dir), "game_id", "left")
     return joined.select("*", home_win("pts_home", "pts_guest").alias("is_home_win"))
 
 
@@ -90,11 +100,11 @@ def playoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "season_id", F.make_date("season_id", F.lit(9), F.lit(1)).alias("playoff_start"))
 
 
-def season_games(spark: SparkSession, sf_dir: str) -> DataFrame:
+def season_games(spark: SparkSession, sf_dir: str, leagues: bool = False) -> DataFrame:
     """Games with venue coordinates and the playoff flag: the input of the schedule features."""
     from tipoff.operators.relational import with_venue_and_phase
 
-    return with_venue_and_phase(games(spark, sf_dir), location(spark, sf_dir), playoffs(spark, sf_dir))
+    return with_venue_and_phase(games(spark, sf_dir, leagues), location(spark, sf_dir), playoffs(spark, sf_dir))
 
 
 def player_box(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,11 +129,11 @@ def player_box(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def roster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as players of their nation's team."""
+    """Suppliers as players of their nation's team in their league."""
     key = F.col("s_suppkey")
     return table(spark, sf_dir, "supplier").select(
         key.alias("player_id"), F.col("s_name").alias("player_name"),
-        F.col("s_nationkey").cast("bigint").alias("team_id"),
+        (_league_start(key, LEAGUE_PLAYERS) + F.col("s_nationkey")).cast("bigint").alias("team_id"),
         F.when(key % 10 == 0, F.lit("Day-To-Day")).when(key % 10 == 1, F.lit("Out for season")).alias("injury"),
     )
 
@@ -207,8 +217,11 @@ SQL = {
         is_home_win as win from games union all
         select game_id, date, season_id, guest_team, home_team, 'guest', not is_home_win from games""",
     "player_box": _sql_player_box(),
-    "roster": """select s_suppkey as player_id, s_name as player_name,
-        cast(s_nationkey as bigint) as team_id,
+    "league_games": f"""select g.* replace (cast({LEAGUE_TEAMS} * (o_custkey // {LEAGUE_CUSTOMERS}) + home_team as int) as home_team,
+        cast({LEAGUE_TEAMS} * (o_custkey // {LEAGUE_CUSTOMERS}) + guest_team as int) as guest_team)
+        from games g join orders on o_orderkey = game_id""",
+    "roster": f"""select s_suppkey as player_id, s_name as player_name,
+        cast({LEAGUE_TEAMS} * (s_suppkey // {LEAGUE_PLAYERS}) + s_nationkey as bigint) as team_id,
         case when s_suppkey % 10 = 0 then 'Day-To-Day' when s_suppkey % 10 = 1 then 'Out for season' end as injury
         from supplier""",
     "pred": """select game_id, pts_home > pts_guest as is_home_win,
@@ -218,7 +231,7 @@ SQL = {
 }
 
 _NEEDS = {
-    "games": ["sched", "box"], "season_games": ["games", "location", "playoffs"], "team_games": ["games"],
+    "games": ["sched", "box"], "league_games": ["games"], "season_games": ["games", "location", "playoffs"], "team_games": ["games"],
     "player_box": ["sched"], "pred": ["box"],
 }
 

@@ -95,10 +95,18 @@ def squad_counts() -> dict[str, Column]:
     return {f"players_pm109_gte_{t}": F.count_if(season >= t) for t in THRESHOLDS}
 
 
+def _spread() -> Column:
+    return F.coalesce(F.col("pts_7_std"), F.col("pts_109_std"))
+
+
+def _volatile_players() -> Column:
+    zero = F.lit(0.0)
+    return F.count_if(F.coalesce(_spread(), zero) > F.coalesce(recent_or_season("pts"), zero))
+
+
 def squad_indicators() -> dict[str, Column]:
     """Depth, form and risk of everyone with a history (needs ``ranked`` rows)."""
     m = F.col("historical_minutes")
-    spread = F.coalesce(F.col("pts_7_std"), F.col("pts_109_std"))
     zero = F.lit(0.0)
     return {
         "minutes_concentration": F.stddev_samp(m) / (F.avg(m) + 0.01),
@@ -108,9 +116,8 @@ def squad_indicators() -> dict[str, Column]:
         "players_scoring_hot": F.count_if(recent_or_season("pts") > F.coalesce(F.col("pts_109"), zero)),
         "players_trending_positive": F.count_if(
             recent_or_season("plus_minus") > F.coalesce(F.col("plus_minus_109"), F.lit(-999.0))),
-        "team_consistency_score": 1 / (F.avg(F.coalesce(spread, F.lit(99.0))) + 0.1),
-        "high_volatility_player_pct": F.count_if(
-            F.coalesce(spread, zero) > F.coalesce(recent_or_season("pts"), zero)) / F.count(F.lit(1)),
+        "team_consistency_score": 1 / (F.avg(F.coalesce(_spread(), F.lit(99.0))) + 0.1),
+        "high_volatility_player_pct": _volatile_players() / F.count(F.lit(1)),
     }
 
 
@@ -167,14 +174,92 @@ def roster_scenarios(roster: DataFrame) -> DataFrame:
     return spread.where(~F.col("doubtful") | plays).select("team_id", "scenario_id", "player_id", "doubtful")
 
 
+def scenario_ids(roster: DataFrame) -> DataFrame:
+    """(team_id, scenario_id) of ``roster_scenarios``, the empty line-up included, without a copy of any player."""
+    teams = available(roster).groupBy("team_id").agg(F.count_if("doubtful").alias("k"))
+    last = F.pow(F.lit(2.0), F.col("k")).cast("bigint") - 1
+    return teams.select("team_id", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("scenario_id"))
+
+
+#: Counts over a whole squad, which add up.
+_COUNTS = ["rotation_size", "players_scoring_hot", "players_trending_positive"]
+
+
+def _squad_parts() -> dict[str, Column]:
+    """What ``squad_counts`` and ``squad_indicators`` are made of, for a part of a squad (needs ``minutes_rank``)."""
+    m = F.col("historical_minutes")
+    on_bench = F.when(F.col("minutes_rank") > BENCH_RANK, F.col("plus_minus_109"))
+    counts = squad_indicators()
+    return {
+        "n": F.count(F.lit(1)), "minutes": F.sum(m), "scatter": F.var_pop(m) * F.count(m), "bench": F.sum(on_bench), "bench_n": F.count(on_bench),
+        "spread": F.sum(F.coalesce(_spread(), F.lit(99.0))), "volatile": _volatile_players(), **{c: counts[c] for c in _COUNTS}, **squad_counts()}
+
+
+def _joined_parts(a: str, b: str) -> dict[str, Column]:
+    """Counts and indicators of two parts of a squad (structs of ``_squad_parts``; the second may be NULL)."""
+    def part(struct, name):
+        return F.coalesce(F.col(f"{struct}.{name}"), F.lit(0))
+
+    def both(name):
+        return part(a, name) + part(b, name)
+
+    n = both("n")
+    apart = part(a, "minutes") / part(a, "n") - F.coalesce(ratio(part(b, "minutes"), part(b, "n")), F.lit(0.0))
+    scatter = both("scatter") + apart * apart * part(a, "n") * part(b, "n") / n
+    return {
+        **{c: both(c) for c in squad_counts()},
+        "minutes_concentration": F.when(n > 1, F.sqrt(scatter / F.greatest(n - 1, F.lit(1)))) / (both("minutes") / n + 0.01),
+        "top3_minutes_share": ratio(F.col("__top"), both("minutes")),
+        "bench_avg_plus_minus": ratio(both("bench"), both("bench_n")),
+        **{c: both(c) for c in _COUNTS},
+        "team_consistency_score": 1 / (both("spread") / n + 0.1),
+        "high_volatility_player_pct": both("volatile") / n,
+    }
+
+
+def _line_ups(squad: DataFrame, features: list[str]) -> DataFrame:
+    """Every line-up that differs in its features, one row for each of its players.
+
+    Doubtful players of a team with equal features are one kind, of which 0 up to all play: the first by player_id. A scenario is a number whose
+    digits, one for each kind, say how many.
+    """
+    team, kind = Window.partitionBy("team_id"), Window.partitionBy("team_id", "doubtful", *features)
+    alike = squad.select(
+        "*", F.when(F.col("doubtful"), F.count(F.lit(1)).over(kind)).otherwise(0).alias("__of"), F.min("player_id").over(kind).alias("__kind"),
+        (F.row_number().over(kind.orderBy("player_id")) - 1).alias("__nth"))
+    choices = F.when(F.col("doubtful") & (F.col("__nth") == 0), F.col("__of") + 1).otherwise(1)
+    through = team.orderBy("__kind", "player_id").rowsBetween(UNBOUNDED, 0)
+    digits = alike.select("*", F.product(choices).over(team).cast("bigint").alias("__all"),
+                          (F.product(choices).over(through) / (F.col("__of") + 1)).cast("bigint").alias("__place"))
+    spread = digits.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__all") - 1)).alias("scenario_id"))
+    plays = F.expr("scenario_id div __place % (__of + 1) > __nth")
+    return spread.where(~F.col("doubtful") | plays).drop("__of", "__kind", "__nth", "__all", "__place")
+
+
 def scenario_stats(roster: DataFrame, player_features: DataFrame, top_n: int = 10) -> DataFrame:
     """Expected stats per scenario from each player's latest form; scenarios with equal results appear once.
 
-    The roster decides the team, so a traded player counts for the new team.
+    The roster decides the team, so a traded player counts for the new team. Doubtful players without a history change nothing and make no scenarios,
+    equal ones are interchangeable. Healthy players behind the first ten are in every scenario and never in a rotation: they are summed up
+    once for each team, and only the players before them and the doubtful ones are repeated. The number of scenarios still doubles with each doubtful player unlike the others.
     """
     features = [c for c in player_features.columns if c not in ("team_id", "player_id", "game_id", "date", "season_id")]
     last = F.max_by(F.struct(*features), F.struct("date", "game_id")).alias("__last")
     latest = player_features.groupBy("player_id").agg(last).select("player_id", "__last.*")
-    rows = roster_scenarios(roster).join(latest, "player_id")
-    stats = expected_team_stats(rows, top_n, keys=("team_id", "scenario_id"))
-    return stats.drop("scenario_id").distinct()
+    squad = with_history(available(roster).drop("player_name").join(latest, "player_id"))
+    line = Window.partitionBy("team_id", "doubtful").orderBy(F.col("historical_minutes").desc(), F.col("player_id"))
+    deep = max(top_n, 2 * BENCH_RANK)  # whoever has so many before them is on the bench, ties included
+    behind = ~F.col("doubtful") & (F.col("__in_line") > deep)
+    squad = squad.select("*", F.row_number().over(line).alias("__in_line"))
+    parts = F.struct(*[e.alias(n) for n, e in _squad_parts().items()])
+    rest = squad.where(behind).select("*", F.lit(deep + 1.0).alias("minutes_rank")).groupBy("team_id").agg(parts.alias("__rest"))
+
+    keys = ("team_id", "scenario_id")
+    rows = ranked(_line_ups(squad.where(~behind).drop("__in_line"), features), keys)
+    rows = expected_minutes(rows, keys, counted=F.col("place") <= top_n)
+    rotation = {**strength(F.col("expected_minutes")), "num_players": F.count_if(F.col("place") <= top_n)}
+    top = F.sum(F.when(F.col("place") <= TOP_SHARE, F.col("historical_minutes"))).alias("__top")
+    stats = rows.groupBy(*keys).agg(*[e.alias(n) for n, e in rotation.items()], top, parts.alias("__front")).join(rest, "team_id", "left")
+    return stats.select(
+        "team_id", *rotation, *[e.alias(n) for n, e in _joined_parts("__front", "__rest").items()],
+        *[ratio(f"exp_{a}", f"exp_{b}").alias(f"exp_{a}_pct") for a, b in (("fg", "fga"), ("fg3", "fg3a"), ("ft", "fta"))]).distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tipoff import fixtures as fx
 from tipoff.fixtures import with_sql
 from tipoff.operators import ratings
@@ -94,9 +96,11 @@ def f01_whole(spark, sf_dir):
 
 
 def coming_frame(spark, sf_dir):
-    games = fx.season_games(spark, sf_dir)
-    return upcoming.upcoming_frame(games, fx.player_box(spark, sf_dir), ratings.elo(league_games(spark, sf_dir).drop("league")),
-                                   fx.roster(spark, sf_dir))
+    """Leagues are rated side by side. Their teams have different numbers, so the frame needs no league."""
+    games = fx.season_games(spark, sf_dir, leagues=True)
+    league = F.floor(F.col("home_team") / fx.LEAGUE_TEAMS).alias("league")
+    rated = ratings.elo(fx.games(spark, sf_dir, leagues=True).select("*", league)).drop("league")
+    return upcoming.upcoming_frame(games, fx.player_box(spark, sf_dir), rated, fx.roster(spark, sf_dir))
 
 
 @query("r03_upcoming_frame")

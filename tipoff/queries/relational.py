@@ -89,14 +89,15 @@ _SCEN = {
 }
 
 
-@query("j09_scenario_pairs", with_sql("games roster", """select t.game_id, t.home_team, t.guest_team,
+@query("j09_scenario_pairs", with_sql("league_games roster", """select t.game_id, t.home_team, t.guest_team,
     h.scenario_id as scenario_id_home, a.scenario_id as scenario_id_guest from todo t
     join n nh on nh.team = t.home_team and nh.game_id = t.game_id join n na on na.team = t.guest_team and na.game_id = t.game_id
-    join sc h on h.team_id = t.home_team join sc a on a.team_id = t.guest_team""", {**_NEXT, **_SCEN}))
+    join sc h on h.team_id = t.home_team join sc a on a.team_id = t.guest_team""",
+    {**{k: v.replace("from games", "from league_games") for k, v in _NEXT.items()}, **_SCEN}))
 def j09(spark, sf_dir):
-    coming = R.upcoming_games(fx.sched(spark, sf_dir), fx.box(spark, sf_dir)).select("game_id", "home_team", "guest_team")
-    scenarios = lineup.roster_scenarios(fx.roster(spark, sf_dir)).select("team_id", "scenario_id").distinct()
-    return R.scenario_pairs(coming, scenarios)
+    schedule = fx.sched(spark, sf_dir, leagues=True)
+    coming = R.upcoming_games(schedule, fx.box(spark, sf_dir)).select("game_id", "home_team", "guest_team")
+    return R.scenario_pairs(coming, lineup.scenario_ids(fx.roster(spark, sf_dir)))
 
 
 @query("j10_latest_snapshot", with_sql("games", f"""select t.game_id, t.home_team, s.pts, s.game_id as seen_in from todo t
