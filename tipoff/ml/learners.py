@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import random
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -16,8 +15,6 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tipoff.ml.metrics import is_better, score
-
 SEED = 42
 
 
@@ -128,35 +125,6 @@ def fold_pair(folded: DataFrame, fold: int, expanding: bool) -> tuple[DataFrame,
     return folded.where(earlier if expanding else F.col("fold") != fold), test
 
 
-def search(folded: DataFrame, family: str, features: list[str], metric: str = "roc_auc", trials: int = 3, folds: int = 3,
-           expanding: bool = True, seed: int = SEED, threads: int = 4, space: dict | None = None) -> tuple[dict, DataFrame]:
-    """Random search with cross-validation; returns the best parameters and a table of all trials.
-
-    Fits run as ordinary Spark jobs from a bounded pool of driver threads.
-    """
-    rng = random.Random(seed)
-    drawn = [{}] + [draw(space or FAMILIES[family].space, rng) for _ in range(trials - 1)]
-
-    def run(job):
-        trial, fold = job
-        train, test = fold_pair(folded, fold, expanding)
-        scored = fit_predict(train, test, family, features, ["is_home_win"], drawn[trial])
-        return trial, fold, score(scored, "is_home_win", "proba", metric)
-
-    with ThreadPoolExecutor(threads) as pool:
-        done = list(pool.map(run, [(t, f) for t in range(trials) for f in range(folds)]))
-    means = [sum(s for t, _, s in done if t == trial) / folds for trial in range(trials)]
-    best = 0
-    for trial in range(1, trials):
-        if is_better(metric, means[trial], means[best]):
-            best = trial
-    spark = folded.sparkSession
-    table = spark.createDataFrame(
-        [(family, t, str(sorted(drawn[t].items())), f, float(s)) for t, f, s in done],
-        "family string, trial int, params string, fold int, score double")
-    return drawn[best], table
-
-
 # ---------------------------------------------------------------------------
 # Calibration
 # ---------------------------------------------------------------------------

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tipoff import fixtures as fx
+from tipoff.fixtures import with_sql
 from tipoff.ml import attribution, combine, ensembles, learners, metrics, scoring, split
 from tipoff.ml.elimination import eliminate, fold_importances, mean_importance
+from tipoff.ml.search import Ledger, tune
 from tipoff.ml.store import RunStore
 from tipoff.operators import records, schedule
 from tipoff.plans import backtest, upcoming
@@ -79,10 +81,38 @@ def _folded(spark, sf_dir, folds=3):
     return written(split.test_fold(parts(spark, sf_dir)[0].drop("role"), folds), "folds")
 
 
+#: The library's default is 100, as a user would ask for.
+TRIALS = 20
+
+
+def _weighted_folds(spark, sf_dir):
+    """Training games with their fold and a weight that falls with their age."""
+    return written(split.recency_weights(split.test_fold(parts(spark, sf_dir)[0].drop("role"), 3)), "weighted-folds")
+
+
 @query("m11_parameter_search")
 def m11(spark, sf_dir):
-    _, trials = learners.search(_folded(spark, sf_dir), "logistic", FEATURES, "log_loss", trials=3, folds=3)
-    return rounded(trials)
+    """The ledger of a search: the better half of the trials goes on from fold to fold."""
+    ledger = Ledger(spark, new_path(spark, "trials"))
+    tune(_weighted_folds(spark, sf_dir), "logistic", FEATURES, ledger, "log_loss", trials=TRIALS, weight="sample_weight")
+    return rounded(ledger.trials())
+
+
+@query("m11_tuned_model", with_sql("games", f"""select game_id, is_home_win, true as is_chance from
+    (select *, row_number() over (order by date, game_id) as rn, count(*) over () as n
+     from games where pts_home is not null and date < date '{CUTOFF}') x where rn > round_even(n * 0.85, 0)"""))
+def m11_tuned(spark, sf_dir):
+    """The best trial of each of two families, fitted again on all weighted training games: every later game gets a chance from both."""
+    folded, (_, scored) = _weighted_folds(spark, sf_dir), parts(spark, sf_dir)
+    ledger, names = Ledger(spark, new_path(spark, "trials")), []
+    for family in ("logistic", "bernoulli_bayes"):
+        best = tune(folded, family, FEATURES, ledger, "log_loss", trials=6, weight="sample_weight")
+        scored = learners.predict(best.model, scored, [c for c in scored.columns], f"proba_{family}")
+        names.append(f"proba_{family}")
+    ok = F.lit(True)
+    for name in names:
+        ok = ok & F.col(name).between(0, 1)
+    return scored.select("game_id", "is_home_win", ok.alias("is_chance"))
 
 
 @query("m12_calibration")
