@@ -71,14 +71,17 @@ def st02(spark, sf_dir):
     return spark.read.parquet(f"{root}/records").drop("batch")
 
 
+#: Game ids in a part of the schedule.
+PART_KEYS = 100_000
+
+
 @query("st03_schedule_upserts", with_sql("sched", f"select game_id, date, {_URL} as game_url from sched"))
 def st03(spark, sf_dir):
     """The schedule arrives twice: first without links, then with the links known by then."""
     rows = _schedule(spark, sf_dir).select("game_id", "date", "game_url")
     both = rows.withColumn("game_url", F.lit("")).withColumn("wave", F.lit(0)).unionByName(rows.withColumn("wave", F.lit(1)))
     root = new_path(spark, "schedule-stream")
-    schema = "game_id bigint, date date, game_url string"
-    run = deliver(spark, written(both, "schedule"), "arriving-schedule", "wave",
-                  lambda stream: records.start_schedule_upserts(stream, spark, root, schema, availableNow=True))
-    last = run.lastProgress["batchId"]
-    return spark.read.parquet(f"{root}/schedule/v{last}")
+    parts = records.Parts(spark, f"{root}/schedule", "game_id bigint, date date, game_url string", F.floor(F.col("game_id") / PART_KEYS))
+    deliver(spark, written(both, "schedule"), "arriving-schedule", "wave",
+            lambda stream: records.start_schedule_upserts(stream, parts, root, "wave", availableNow=True))
+    return parts.table()

@@ -7,7 +7,7 @@ game that arrives late gets the record of its own date.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,19 +16,38 @@ from tipoff.operators.ordered import TEAM_SEASON, running
 from tipoff.operators.views import team_rows
 from tipoff.sources.tables import changed_rows, upserted
 
-class Versions:
-    """A small table that is replaced as a whole per micro-batch; a replayed batch rewrites its own version."""
 
-    def __init__(self, spark: SparkSession, root: str, schema: str):
-        self.spark, self.root, self.schema = spark, root, schema
+class Parts:
+    """A table of rows by ``game_id`` in parts that the key implies, with a version of a part for each micro-batch that changed it.
 
-    def before(self, batch: int) -> DataFrame:
-        if batch == 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/v{batch - 1}")
+    A batch reads the newest earlier version of the parts it touches and writes its own, so its cost does not grow with the rest of the table. Nothing that an
+    earlier batch wrote is changed: a batch that is replayed, also after half of its writing, overwrites its own versions only.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, schema: str, part: Column):
+        self.spark, self.root, self.schema, self.part = spark, root, schema, part
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{root}/batch=-1/part=none")  # so that there is a table to read
+
+    def _versions(self, before: int | None = None, parts: list[str] | None = None) -> DataFrame:
+        rows = self.spark.read.schema(f"{self.schema}, batch bigint, part string").parquet(self.root)
+        rows = rows if before is None else rows.where(F.col("batch") < before)
+        return rows if parts is None else rows.where(F.col("part").isin(parts))
 
-    def write(self, df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/v{batch}")
+    @staticmethod
+    def _newest(rows: DataFrame) -> DataFrame:
+        return rows.join(rows.groupBy("part").agg(F.max("batch").alias("batch")), ["part", "batch"], "left_semi").drop("part", "batch")
+
+    def table(self) -> DataFrame:
+        return self._newest(self._versions())
+
+    def upsert_changes(self, incoming: DataFrame, batch: int) -> None:
+        """New games and newly linked box scores of ``incoming`` (one row a game)."""
+        placed = incoming.select("*", F.coalesce(self.part.cast("string"), F.lit("none")).alias("part"))
+        parts = [r.part for r in placed.select("part").distinct().collect()]  # names of the parts of one batch
+        stored = self._newest(self._versions(batch, parts))
+        after = upserted(stored, changed_rows(incoming, stored), ["game_id"])
+        after.select("*", F.coalesce(self.part.cast("string"), F.lit("none")).alias("part")).write.mode("overwrite").partitionBy("part").parquet(
+            f"{self.root}/batch={batch}")
 
 
 def records_batch(batch: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -73,14 +92,14 @@ def start_records(games: DataFrame, spark: SparkSession, root: str, **trigger):
     return games.writeStream.foreachBatch(each).option("checkpointLocation", f"{root}/checkpoint").trigger(**trigger).start()
 
 
-def start_schedule_upserts(landed: DataFrame, spark: SparkSession, root: str, schema: str, **trigger):
-    """Keep a schedule table up to date: only new games and newly linked box scores are upserted."""
-    versions = Versions(spark, f"{root}/schedule", schema)
+def start_schedule_upserts(landed: DataFrame, parts: Parts, root: str, arrival: str, **trigger):
+    """Keep a schedule table up to date: only new games and newly linked box scores are upserted.
 
+    Of several rows of a game in one micro-batch the last by ``arrival`` counts, of several at once the one with a link.
+    """
     def each(batch: DataFrame, number: int) -> None:
-        stored = versions.before(number)
-        latest = batch.dropDuplicates(["game_id", "game_url"]).groupBy("game_id").agg(
-            F.max_by(F.struct(*[c for c in stored.columns if c != "game_id"]), "game_url").alias("r")).select("game_id", "r.*")
-        versions.write(upserted(stored, changed_rows(latest, stored), ["game_id"]), number)
+        columns = [c for c in parts.spark.createDataFrame([], parts.schema).columns if c != "game_id"]
+        last = F.max_by(F.struct(*columns), F.struct(F.col(arrival), "game_url")).alias("__last")
+        parts.upsert_changes(batch.groupBy("game_id").agg(last).select("game_id", "__last.*"), number)
 
     return landed.writeStream.foreachBatch(each).option("checkpointLocation", f"{root}/checkpoint").trigger(**trigger).start()
