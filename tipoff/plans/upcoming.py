@@ -33,7 +33,7 @@ def upcoming_frame(games: DataFrame, player_box: DataFrame, rated: DataFrame, ro
     blocks = written(team_block(season).join(teams, ["game_id", "team"], "left_semi"), "team-form")
     frame = views.attach_sides(frame, blocks)
 
-    players = form.player_form(written(player_box.join(newest, "season_id", "left_semi"), "player-box"))
+    players = form.player_form(written(player_box.join(newest, "season_id", "left_semi"), "player-box"), columns=lineup.FORM_COLUMNS)
     squads = roster.join(teams.select(F.col("team").alias("team_id")).distinct(), "team_id", "left_semi")  # before subsets are made
     scenarios = written(lineup.scenario_stats(squads, written(players, "player-form"), top_n), "scenarios")
     frame = relational.scenario_pairs(frame, scenarios, "left")

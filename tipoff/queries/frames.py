@@ -17,15 +17,15 @@ from tipoff.queries.windows import _TF, sql_player_form, sql_team_form
 _SQL_SELECTED = [c for c in training.SELECTED_FEATURES if not c.startswith("elo_") and c != "is_b2b_guest"]
 
 
-def full_frame(spark, sf_dir):
+def full_frame(spark, sf_dir, columns=None):
     rated = ratings.elo(league_games(spark, sf_dir))
-    return training.training_frame(fx.season_games(spark, sf_dir), fx.player_box(spark, sf_dir), rated)
+    return training.training_frame(fx.season_games(spark, sf_dir), fx.player_box(spark, sf_dir), rated, columns=columns)
 
 
 @query("f01_training_frame")
 def f01(spark, sf_dir):
     """All blocks are joined; the shipped model's inputs are shown."""
-    return rounded(full_frame(spark, sf_dir).select(
+    return rounded(full_frame(spark, sf_dir, training.SELECTED_FEATURES).select(
         "game_id", "date", "home_team", "guest_team", "is_home_win", *training.SELECTED_FEATURES))
 
 
@@ -52,7 +52,7 @@ def _role(column: str) -> str:
 }))
 def f01_selected(spark, sf_dir):
     wanted = ["is_b2b_guest", *_SQL_SELECTED]
-    return rounded(full_frame(spark, sf_dir).select(
+    return rounded(full_frame(spark, sf_dir, wanted).select(
         "game_id", "date", "home_team", "guest_team", "is_home_win", *wanted), nudge=True)
 
 
