@@ -36,21 +36,24 @@ def table_rows(pages: DataFrame, table_id: str, html: str = "html") -> DataFrame
         return F.regexp_extract(text, rf"(?s)<{tag}[^>]*>(.*?)</{tag}>", 1)
 
     whole = F.regexp_extract(html, rf'(?s)<table[^>]*id="{table_id}"[^>]*>(.*?)</table>', 1)
-    table = pages.select("page_id", whole.alias("t")).where("t <> ''")
+    # ``once`` keeps Spark from writing an expression again into every filter and column that reads it
+    once = lambda value: F.explode(F.array(value))
+    table = pages.select("page_id", once(whole).alias("t")).where("t <> ''")
     row = F.lit(r"(?s)<tr[^>]*>(.*?)</tr>")
     head = F.element_at(F.regexp_extract_all(inside(F.col("t"), "thead"), row, 1), 2)
     names = F.regexp_extract_all(head, F.lit(r'<th[^>]*data-stat="([^"]*)"'), 1)
     sections = F.explode(F.array(*[
         F.struct(F.lit(s).alias("section"), F.regexp_extract_all(inside(F.col("t"), s), row, 1).alias("rows"))
         for s in ("tbody", "tfoot")]))
-    rows = table.select("page_id", F.slice(names, 2, F.size(names)).alias("names"), sections.alias("s")).select(
+    rows = table.select("page_id", once(names).alias("names"), "t").select(
+        "page_id", F.slice("names", 2, F.size("names")).alias("names"), sections.alias("s")).select(
         "page_id", "names", "s.section", F.posexplode("s.rows").alias("row", "cells"))
     plain = lambda text: F.trim(F.regexp_replace(text, "<[^>]*>", ""))
     return rows.select(
         "page_id", "section", "row",
         F.regexp_extract("cells", r'<th[^>]*data-append-csv="([^"]*)"', 1).alias("row_id"),
         plain(F.regexp_extract("cells", r"(?s)<th[^>]*>(.*?)</th>", 1)).alias("row_name"), "names",
-        F.transform(F.regexp_extract_all("cells", F.lit(r"(?s)<td[^>]*>(.*?)</td>"), 1), plain).alias("texts"))
+        once(F.transform(F.regexp_extract_all("cells", F.lit(r"(?s)<td[^>]*>(.*?)</td>"), 1), plain)).alias("texts"))
 
 
 def stat_table(pages: DataFrame, table_id: str, html: str = "html") -> DataFrame:
