@@ -1,12 +1,15 @@
 """Line-up stats on Arrow batches, the features and columns that a query needs and no others, and regular expressions that are read once."""
 
 import datetime
+import decimal
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tipoff.operators import form, lineup
+from tipoff.operators.kernels import Packed
 from tipoff.queries import base, windows
 from tipoff.sources import landed
 
@@ -55,6 +58,29 @@ def test_box_scores_hold_the_stats_that_are_read(spark, sf_dir):
     assert set(windows.player_box_of(spark, sf_dir, windows.MINUTES).columns) == {*form.PLAYER_KEYS, "mp"}
 
 
+def test_packed_rows_come_back_whole(spark):
+    schema = "a long, b int, c date, d boolean, e double, f string, g double, h smallint, i tinyint, j float, k decimal(5,2)"
+    rows = [(2**53 + 1, -5, datetime.date(1969, 12, 30), True, 1.5, "x", None, 7, -1, 0.5, None), (None,) * 11,
+            (-2**63, 2**31 - 1, datetime.date(9999, 12, 31), False, float("inf"), "", -0.0, None, 127, None, decimal.Decimal("3.00"))]
+    df = spark.createDataFrame(rows, schema)
+    packed = Packed(df)
+    sent = packed.pack(df)
+    assert sent.columns == ["f", "j", "k", "__wholes", "__doubles"]
+    for some in (df, df.where("false")):
+        got = some.sparkSession.createDataFrame(packed.pack(some).mapInArrow(lambda batches: map(packed.unpack, batches), df.schema).toArrow(), df.schema)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, some.collect()))
+    assert packed.unpack(pa.RecordBatch.from_pylist([], sent.limit(0).toArrow().schema)).num_rows == 0
+
+
+@pytest.mark.parametrize("name", ["w19_top_players", "a04_form_change", "a08_bench_strength"])
+def test_rows_go_to_python_in_two_columns(spark, sf_dir, name):
+    """Spark's Arrow writer takes a time for each row that grows with the columns; no key that nothing reads comes back."""
+    found = base.QUERIES[name](spark, sf_dir)
+    lines = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "MapInArrow" in line]
+    assert lines and all("MapInArrow walk(__wholes#" in line and line.partition(")")[0].count("#") == 2 for line in lines)
+    assert "season_id" not in lines[-1].partition(")")[2]
+
+
 @pytest.mark.parametrize("size", [100, 8])
 def test_latest_rows(box, size):
     options = {"size": size, "columns": ["pts_7", "mp_3"], "windows": (3, 7)}
