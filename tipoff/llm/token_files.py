@@ -41,28 +41,32 @@ def write_ids(documents: DataFrame, path: str, vocabulary: str, end_id: int = 1)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         ids_of, end, part = encoder(vocabulary, False), end_id.to_bytes(4, "little"), TaskContext.get().partitionId()
-        docs: list[int | None] = []
-        held: list[bytes] = []
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []  # documents, their lengths, their ids
         size = segment = 0
         for batch in batches:
-            numbers, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(numbers), 256):
-                for doc_id, ids in zip(numbers[at:at + 256], ids_of.encode([t or "" for t in texts.slice(at, 256).to_pylist()])):
-                    docs.append(doc_id)
-                    held.append(ids + end)
-                    size += len(ids) // 4 + 1
+            numbers = batch.column(0)
+            for lengths, ids in ids_of.encode_column(batch.column(1), end):
+                docs, numbers = numbers.slice(0, len(lengths)), numbers.slice(len(lengths))
+                while len(lengths):
+                    ends = np.cumsum(lengths)
+                    n = int(np.searchsorted(ends, SEGMENT - size)) + 1  # the document that fills the segment is its last
+                    held.append((docs.slice(0, n), lengths[:n], ids[:ends[:n][-1]]))
+                    size += len(held[-1][2])
+                    docs, lengths, ids = docs.slice(n), lengths[n:], ids[len(held[-1][2]):]
                     if size >= SEGMENT:
-                        yield _segment(part, segment, docs, held)
-                        docs, held, size, segment = [], [], 0, segment + 1
-        if docs:
-            yield _segment(part, segment, docs, held)
+                        yield _segment(part, segment, held)
+                        held, size, segment = [], 0, segment + 1
+        if held:
+            yield _segment(part, segment, held)
 
     in_order.mapInArrow(segments, SCHEMA).write.parquet(path)
 
 
-def _segment(part: int, segment: int, docs: list[int | None], held: list[bytes]) -> tuple:
-    ids = np.frombuffer(b"".join(held), "<u4")
-    return part, segment, len(ids), docs, [len(h) // 4 for h in held], write_segment(ids)
+def _segment(part: int, segment: int, held: list[tuple[pa.Array, np.ndarray, np.ndarray]]) -> tuple:
+    docs, lengths, ids = zip(*held)
+    held.clear()
+    ids = np.concatenate(ids)
+    return part, segment, len(ids), pa.concat_arrays(docs).to_pylist(), np.concatenate(lengths).tolist(), write_segment(ids)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
