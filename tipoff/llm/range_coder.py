@@ -194,14 +194,12 @@ class _Mixer:
     MOST = 300_000
 
     def __init__(self, lanes: int):
-        self.base = np.arange(3)[:, None] * (lanes * self.CONTEXTS) + np.arange(lanes) * self.CONTEXTS
         self.odds = np.zeros(3 * lanes * self.CONTEXTS, np.int16)
         self.weight = np.full((3, lanes), 22_000, np.int32)
 
-    def predict(self, contexts: np.ndarray, lanes: np.ndarray | None = None) -> np.ndarray:
-        """Chance of yes, of 4096, in the given lanes or all. ``contexts``: each estimate's context number below ``CONTEXTS``."""
-        self.at = lanes
-        self.cells = contexts + (self.base if lanes is None else self.base.take(lanes, 1))
+    def predict(self, cells: np.ndarray, lanes: np.ndarray | None = None) -> np.ndarray:
+        """Chance of yes, of 4096, in the given lanes or all. ``cells``: the place of each estimate in its context."""
+        self.at, self.cells = lanes, cells
         self.weights = self.weight if lanes is None else self.weight.take(lanes, 1)
         self.now = self.odds.take(self.cells).astype(np.int32)
         total = np.add.reduce(self.weights * self.now, 0, np.int32)
@@ -274,6 +272,7 @@ def _code(coder: _Writer | _Reader, by_rank: np.ndarray, rows: np.ndarray, of: n
     mixers, frequencies = (_Mixer(lanes), _Mixer(lanes)), _Digits(lanes)
     truth, before, luck = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32), np.zeros(lanes, np.int64)
     hashed, contexts = np.empty((2, lanes), np.uint32), np.empty((3, lanes), np.int64)
+    places = np.arange(3 * lanes).reshape(3, lanes) * _Mixer.CONTEXTS
     right = offset = digits = yes = None
     for row in rows:
         mixed = truth * np.uint32(2654435769)
@@ -288,6 +287,7 @@ def _code(coder: _Writer | _Reader, by_rank: np.ndarray, rows: np.ndarray, of: n
         count <<= np.uint32(1)
         np.bitwise_or(count, agree, out=contexts[:2])
         contexts[2] = luck
+        contexts += places
         likely = (guess[1] - guess[0]) * known[1] + guess[0]
         asked = known[0] | known[1]
         if not reads:
