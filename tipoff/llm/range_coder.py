@@ -74,8 +74,9 @@ class _Coder:
         """The ranges of the numbers of digits, where there are any; returns where they begin."""
         cell = self.each + digits * self.lanes
         unit = self.range >> _12
-        start = steps.take(cell)
-        size = steps.take(cell + self.lanes) - start
+        start = steps.take(cell).astype(np.uint32)
+        cell += self.lanes
+        size = steps.take(cell) - start
         size *= unit
         np.copyto(self.range, size, where=literal)
         unit *= start
@@ -246,7 +247,7 @@ class _Digits:
         self.seen = np.full((RENEW, lanes), _DIGITS, np.uint8)  # the last numbers of digits, ``_DIGITS`` for ids that had none
         self.n = 0
         self.rate = self.RATES[0]
-        self.steps = (self.sums >> 8).astype(np.uint32)
+        self.steps = (self.sums >> 8).astype(np.uint16)
 
     def learn(self, digits: np.ndarray, literal: np.ndarray) -> bool:
         """The numbers of digits of one row; returns whether the frequencies were renewed."""
@@ -259,7 +260,7 @@ class _Digits:
             change = below * (self.FULL - self.LEAST * _DIGITS) + below[-1] * (self.LEAST * self.grid - self.sums)
             self.sums += change >> self.rate
             self.rate = min(self.rate + 1, self.RATES[1])
-            self.steps = (self.sums >> 8).astype(np.uint32)
+            self.steps = (self.sums >> 8).astype(np.uint16)
         return not self.n
 
 

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tipoff.llm.frames import broadcast_if_small, in_batches
+from tipoff.llm.frames import broadcast_if_small, in_batches, tidied
 from tipoff.llm.range_coder import BLOCK, LANES, read_segment, write_segment
 from tipoff.llm.tokens import encoder
 
@@ -36,6 +36,7 @@ def write_ids(documents: DataFrame, path: str, vocabulary: str, end_id: int = 1)
     digest = F.xxhash64("text")
     in_order = rows.repartitionByRange("doc_id", digest).sortWithinPartitions("doc_id", digest)
 
+    @tidied
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from in_batches(coded(batches), _ARROW, max_rows=1)
 
@@ -80,6 +81,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
+    @tidied
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from in_batches(split(batches), schema)
 
