@@ -31,13 +31,13 @@ TEAM_OWN = [c for c in form.TEAM_STATS if not c.endswith("_opponent")
 def schedule_features(games: DataFrame) -> DataFrame:
     """Records, head-to-head, travel, rest and clutch results at game grain.
 
-    Every part ends partitioned by ``game_id``, so the joins add no shuffle of their own.
+    Every part ends partitioned by ``game_id``, so the joins add no shuffle of their own. Every part has a row for each game, so none is broadcast.
     """
     drop = [c for c in GAME_KEYS if c != "game_id"] + [LABEL]
     parts = [records.location_record(games), records.head_to_head(games), schedule.travel(games),
              schedule.rest(games), schedule.clutch(games)]
-    base = records.overall_record(games).join(games.select("game_id", "is_playoff_game"), "game_id")
-    return reduce(lambda a, b: a.join(b.drop(*drop), "game_id"), parts, base)
+    base = records.overall_record(games).join(games.select("game_id", "is_playoff_game").hint("merge"), "game_id")
+    return reduce(lambda a, b: a.join(b.drop(*drop).hint("merge"), "game_id"), parts, base)
 
 
 def team_block(games: DataFrame, impute: bool = True, columns: list[str] | None = None) -> DataFrame:

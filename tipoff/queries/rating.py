@@ -17,7 +17,7 @@ def league_games(spark, sf_dir):
     """Games with the league of their customer; a team has one rating in each league."""
     orders = fx.table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("game_id"), F.floor(F.col("o_custkey") / LEAGUE_KEYS).cast("bigint").alias("league"))
-    return fx.games(spark, sf_dir).join(orders, "game_id").select(
+    return fx.games(spark, sf_dir).join(orders.hint("merge"), "game_id").select(
         "league", "game_id", "date", "season_id", "home_team", "guest_team", "pts_home", "pts_guest")
 
 
