@@ -40,9 +40,9 @@ def schedule_features(games: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.join(b.drop(*drop).hint("merge"), "game_id"), parts, base)
 
 
-def team_block(games: DataFrame, impute: bool = True, columns: list[str] | None = None) -> DataFrame:
+def team_block(games: DataFrame, impute: bool = True, columns: list[str] | None = None, finish: lineup.Finish | None = None) -> DataFrame:
     rows = views.derived_box(views.team_boxscores(games, TEAM_OWN))
-    return form.team_form(rows, impute=impute, also=("side",), columns=columns).drop("date", "season_id", "is_win")
+    return form.team_form(rows, impute=impute, also=("side",), columns=columns, finish=finish).drop("date", "season_id", "is_win")
 
 
 def elo_block(rated: DataFrame) -> DataFrame:
@@ -52,23 +52,29 @@ def elo_block(rated: DataFrame) -> DataFrame:
 
 
 def training_frame(games: DataFrame, player_box: DataFrame | None, rated: DataFrame, impute: bool = True,
-                   top_n: int = 10, columns: list[str] | None = None) -> DataFrame:
+                   top_n: int = 10, columns: list[str] | None = None, finish: lineup.Finish | None = None) -> DataFrame:
     """All blocks, each row with its side, joined on ``game_id`` alone: the frame is shuffled once. Seasons are computed together; every window has the season in its key.
 
     The blocks are written once each, as both roles read them. ``columns`` names the features that the caller reads: the blocks of team form then
-    hold no others, as Spark's column pruning does not reach into the arithmetic on Arrow batches.
+    hold no others, as Spark's column pruning does not reach into the arithmetic on Arrow batches. ``finish`` is applied to the values of team form, in
+    the tasks that make them. The narrow blocks are attached first, so that the wide rows go through two joins alone.
     """
     played = written(games.where(F.col("pts_home").isNotNull() & F.col("pts_guest").isNotNull()), "played")
     frame = schedule_features(played)
     teams = None if columns is None else [c.rsplit("_", 1)[0] for c in columns]
-    frame = views.attach_sides(frame, written(team_block(played, impute, teams), "team-form"))
+    formed, sides = written(team_block(played, impute, teams, finish), "team-form"), []
     if player_box is not None:
         players = form.player_form(written(player_box, "player-box"), impute=impute, columns=lineup.FORM_COLUMNS)
         expected = lineup.expected_team_stats(players, top_n, dealt_by="game_id")
         if columns is not None:
             expected = expected.select(*[c for c in expected.columns if c in lineup.GAME_TEAM or c in teams])
-        frame = views.attach_sides(frame, written(views.with_side(expected, played, "team_id"), "expected"), "team_id")
-    return views.attach_sides(frame, written(views.with_side(elo_block(rated), played), "elo"))
+        sides.append((written(views.with_side(expected, played, "team_id"), "expected"), "team_id"))
+    sides.append((written(views.with_side(elo_block(rated), played), "elo"), "team"))
+    order = [*frame.columns, *[f"{c}_{side}" for block, key in [(formed, "team"), *sides] for side in views.OTHER
+                               for c in block.columns if c not in ("game_id", "side", key)]]
+    for block, key in [*sides, (formed, "team")]:
+        frame = views.attach_sides(frame, block, key)
+    return frame.select(*order)
 
 
 def feature_columns(frame: DataFrame, drop_previous: bool = True) -> list[str]:

@@ -8,7 +8,7 @@ from tipoff import fixtures as fx
 from tipoff.fixtures import with_sql
 from tipoff.operators import ratings
 from tipoff.plans import training, upcoming
-from tipoff.queries.base import ORACLES, query, rounded, sql_round
+from tipoff.queries.base import ORACLES, nudged, query, rounded, sql_round
 from tipoff.queries.lineups import NAMES, _shown, exp_ctes
 from tipoff.queries.rating import _CARRIED, league_games
 from tipoff.queries.windows import _TF, sql_player_form, sql_team_form
@@ -17,9 +17,9 @@ from tipoff.queries.windows import _TF, sql_player_form, sql_team_form
 _SQL_SELECTED = [c for c in training.SELECTED_FEATURES if not c.startswith("elo_") and c != "is_b2b_guest"]
 
 
-def full_frame(spark, sf_dir, columns=None):
+def full_frame(spark, sf_dir, columns=None, finish=None):
     rated = ratings.elo(league_games(spark, sf_dir))
-    return training.training_frame(fx.season_games(spark, sf_dir), fx.player_box(spark, sf_dir), rated, columns=columns)
+    return training.training_frame(fx.season_games(spark, sf_dir), fx.player_box(spark, sf_dir), rated, columns=columns, finish=finish)
 
 
 @query("f01_training_frame")
@@ -58,7 +58,8 @@ def f01_selected(spark, sf_dir):
 
 _STREAKS = ["has_won_last_game", "current_winning_streak", "current_losing_streak"]
 _ELO = ["elo", "elo_change_7_absolute", "elo_change_7_relative"]
-_QUOTIENTS = frozenset(f"{c}_{side}" for c in [*_TF, *NAMES] for side in ("home", "guest"))
+_TEAM = frozenset(f"{c}_{side}" for c in _TF for side in ("home", "guest"))
+_QUOTIENTS = frozenset(f"{c}_{side}" for c in NAMES for side in ("home", "guest"))
 
 
 def _played(name: str) -> str:
@@ -91,8 +92,8 @@ def _whole_frame_sql() -> str:
 
 @query("f01_whole_frame", _whole_frame_sql())
 def f01_whole(spark, sf_dir):
-    """Every column of every block."""
-    return rounded(full_frame(spark, sf_dir), nudge=_QUOTIENTS)
+    """Every column of every block. Team form, most of the columns, is rounded in the tasks that make it."""
+    return rounded(full_frame(spark, sf_dir, finish=nudged()), nudge=_QUOTIENTS, done=_TEAM)
 
 
 def coming_frame(spark, sf_dir):
