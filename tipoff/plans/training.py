@@ -31,7 +31,7 @@ TEAM_OWN = [c for c in form.TEAM_STATS if not c.endswith("_opponent")
 def schedule_features(games: DataFrame) -> DataFrame:
     """Records, head-to-head, travel, rest and clutch results at game grain.
 
-    Every part ends partitioned by ``game_id``, so the joins add no shuffle of their own. Every part has a row for each game, so none is broadcast.
+    Every part ends partitioned by ``game_id``, so the joins add no shuffle of their own. Every part has a row for each game, so none is broadcast here.
     """
     drop = [c for c in GAME_KEYS if c != "game_id"] + [LABEL]
     parts = [records.location_record(games), records.head_to_head(games), schedule.travel(games),
